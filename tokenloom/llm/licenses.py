@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, table
+from .common import id_of, key_of, materialise, table
 
 BUCKETS = 1 << 13
 NEGATIVES = 2_000
@@ -115,17 +115,20 @@ CUES = [w for w in VOCABULARY if w not in COMMON]
 FAMILIES = [*TEMPLATES, UNKNOWN]
 
 
-def features(words: Column) -> Column:
-    """Distinct buckets of the one- to three-word n-grams; words outside the vocabulary are one mark, and never an n-gram alone."""
+def marked(words: Column) -> Column:
+    """Words outside the vocabulary become one mark."""
     known = F.array(*map(F.lit, VOCABULARY))
-    marked = F.transform(words, lambda w: F.when(F.array_contains(known, w), w).otherwise(F.lit("~")))
-    end = F.size(marked)
+    return F.transform(words, lambda w: F.when(F.array_contains(known, w), w).otherwise(F.lit("~")))
 
-    def grams(n: int) -> Column:
-        starts = F.when(end >= n, F.sequence(F.lit(1), end - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(marked, i, n), " "))
 
-    every = F.filter(F.concat(grams(1), grams(2), grams(3)), lambda g: ~g.rlike("^[~ ]+$"))
+def features(marks: str) -> Column:
+    """Distinct buckets of the one- to three-word n-grams of a column of marked words; a row of marks alone is none."""
+    m, n = F.col(marks), F.size(marks)
+    following = lambda k: F.slice(m, k, F.greatest(n - (k - 1), F.lit(0)))
+    joined = lambda a, b: F.concat_ws(" ", a, b)
+    pairs = F.zip_with(F.slice(m, 1, F.greatest(n - 1, F.lit(0))), following(2), joined)
+    triples = F.zip_with(F.slice(pairs, 1, F.greatest(n - 2, F.lit(0))), following(3), joined)
+    every = F.filter(F.array_distinct(F.concat(m, pairs, triples)), lambda g: ~g.isin("~", "~ ~", "~ ~ ~"))
     return F.array_distinct(F.transform(every, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
 
 
@@ -201,7 +204,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     corpus = some.select(line.alias("body")).select(F.substring("body", 1, 400).alias("body")).where(~F.col("body").rlike(r"(?i)licen[cs]|copyright|rights reserved|spdx") & (F.length("body") > 0))
     corpus = [r.body for r in corpus.orderBy(F.xxhash64("body"), "body").limit(NEGATIVES).collect()]
     texts, labels = _training_texts(corpus)
-    made = spark.createDataFrame(list(zip(texts, labels, strict=True)), "body string, label int").select(features(words_of(F.col("body"))).alias("f"), "label").collect()
+    made = spark.createDataFrame(list(zip(texts, labels, strict=True)), "body string, label int").select(marked(words_of(F.col("body"))).alias("m"), "label").select(features("m").alias("f"), "label").collect()
     made.sort(key=lambda r: (r.label, sorted(r.f)))
     rng = random.Random(1)
     rng.shuffle(made)
@@ -216,16 +219,18 @@ def scan(docs: DataFrame, model, id_column: str = "doc_id", text_column: str = "
     rows = [(int(b), *map(float, weights[b] * warmth)) for b in np.flatnonzero(np.abs(weights).sum(axis=1))]
     sent = spark.createDataFrame(rows, "bucket int, " + ", ".join(f"{n} double" for n in names))
     templates = spark.createDataFrame([(f, _plain_words(t)) for f, x in TEMPLATES.items() for t in x], "family string, template array<string>")
-    # The row's number lives in this plan only: it keeps rows that repeat apart between the explode and the sum.
+    # Written, so that a paragraph's number stays and its n-grams are made once: these are the few lines with a cue.
     lines = paragraphs(docs, id_column, text_column).withColumn("words", words_of(F.col("body"))).withColumn("line", F.monotonically_increasing_id())
-    grams = lines.withColumn("f", features(F.col("words"))).where(F.size("f") > 0)
-    one = grams.select("line", "key", "paragraph", "words", F.sqrt(F.size("f").cast("double")).alias("norm"), F.explode("f").alias("bucket"))
-    sums = one.join(F.broadcast(sent), "bucket").groupBy("line", "key", "paragraph", "words", "norm").agg(*(F.sum(n).alias(n) for n in names))
-    logits = [F.col(n) / F.col("norm") + F.lit(float(c) * warmth) for n, c in zip(names, constants, strict=True)]
-    top = F.greatest(*logits)
-    total = sum((F.exp(z - F.col("top")) for z in logits), F.lit(0.0))
-    best = F.coalesce(*(F.when(z == F.col("top"), F.lit(f)) for z, f in zip(logits, FAMILIES, strict=True)))
-    said = sums.withColumn("top", top).select("line", "key", "paragraph", "words", best.alias("family"), (1 / total).alias("probability")).where(F.col("family") != UNKNOWN)
+    grams = lines.withColumn("m", marked(F.col("words"))).select("line", "key", "paragraph", "words", features("m").alias("f"))
+    grams = materialise(grams, "licence-grams").where(F.size("f") > 0)
+    one = grams.select("line", F.sqrt(F.size("f").cast("double")).alias("norm"), F.explode("f").alias("bucket"))
+    sums = one.join(F.broadcast(sent), "bucket").groupBy("line").agg(F.first("norm").alias("norm"), *(F.sum(n).alias(n) for n in names))
+    logits = F.array(*(F.col(n) / F.col("norm") + F.lit(float(c) * warmth) for n, c in zip(names, constants, strict=True)))
+    scored = sums.select("line", logits.alias("z")).select("line", "z", F.array_max("z").alias("top"))
+    total = F.aggregate(F.transform("z", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
+    best = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("z", F.col("top")).cast("int"))
+    said = scored.select("line", best.alias("family"), (1 / total).alias("probability")).where(F.col("family") != UNKNOWN)
+    said = said.join(grams.select("line", "key", "paragraph", "words"), "line")
     shared = F.size(F.array_intersect("words", "template"))
     distinct = F.size(F.array_distinct("template"))
     near = F.greatest(shared / distinct, F.when(distinct >= 12, shared / F.size(F.array_distinct("words"))).otherwise(F.lit(0.0)))
