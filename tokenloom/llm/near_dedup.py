@@ -14,11 +14,13 @@ against its rare ones. Similarity is the weighted Jaccard sum(min)/sum(max).
 3. Sampling (Ioffe 2010), SAMPLES times a document. A sample's value is
    exponential in the weight, so the least value over all of a document's own
    shingles is drawn at once, from the sum of their weights.
-4. BANDS bands of ROWS samples; documents that share a band are compared with one
-   of the band's members, by weighted Jaccard, and those at THRESHOLD or more are
-   linked. A band whose members are then in one component is done; in other bands,
-   the members outside the largest component are compared with the rest. So no
-   candidate link between two components is lost, and no band is paired in full.
+4. BANDS bands of ROWS samples; a band's pivot is its most central text, whose
+   shingles are the most frequent ones. The other texts of a band are compared with
+   its pivot alone, by weighted Jaccard, and linked at THRESHOLD or more. A text
+   that is not similar to its pivot is similar to another text of the band only if
+   the two share enough of their differences from the pivot; a prefix filter on
+   these differences finds such pairs (see compare()), so no candidate link between
+   two components is lost, and no band is paired in full.
 5. Classes are the components; the smallest doc_id of one names it.
 
 Defined results: a null text is an empty one; texts without words are copies of
@@ -309,17 +311,18 @@ def _sample(n_docs: int):
         count = np.array([max(1, words[x] - SHINGLE + 1) for x in nodes], np.float64)
         alone = np.maximum(count - np.add.reduceat(tf.astype(np.float64), starts), 0) * idf(np.array([1.0]), n_docs)[0]
         total = alone + np.add.reduceat(weight, starts)
+        central = np.round(np.add.reduceat(tf * np.log(df.astype(np.float64)), starts) / count, 9)  # high where many hold most of a text
         bands = np.stack(sample_bands(docs, starts, value, weight, alone), axis=1)
         ends = np.concatenate((starts[1:], [len(ids)]))
         packed = [[f(x[a:z]) for a, z in zip(starts, ends, strict=True)] for f, x in ((pack_sorted, value), (pack, tf), (pack, df))]
         lists = [[int(x) for x in row if x] for row in bands.astype(np.int64)]
-        return pa.table([pa.array(nodes, pa.int64()), pa.array(total), *(pa.array(x, pa.binary()) for x in packed), pa.array(lists, pa.list_(pa.int64()))], schema=SIGNED)
+        return pa.table([pa.array(nodes, pa.int64()), pa.array(total), *(pa.array(x, pa.binary()) for x in packed), pa.array(central), pa.array(lists, pa.list_(pa.int64()))], schema=SIGNED)
 
     return run
 
 
-SIGNED = pa.schema([("node", pa.int64()), ("total", pa.float64()), ("hashes", pa.binary()), ("tf", pa.binary()), ("df", pa.binary()), ("bands", pa.list_(pa.int64()))])
-SIGNED_SCHEMA = "node long, total double, hashes binary, tf binary, df binary, bands array<long>"
+SIGNED = pa.schema([("node", pa.int64()), ("total", pa.float64()), ("hashes", pa.binary()), ("tf", pa.binary()), ("df", pa.binary()), ("central", pa.float64()), ("bands", pa.list_(pa.int64()))])
+SIGNED_SCHEMA = "node long, total double, hashes binary, tf binary, df binary, central double, bands array<long>"
 
 
 def signatures(docs: DataFrame, groups: DataFrame, n_docs: int, n_words: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -343,18 +346,47 @@ def _with_group(groups: int):
     return run
 
 
-def weighted_jaccard(a: tuple, b: tuple) -> float:
-    """Of two (total, hashes, weights), hashes ascending."""
-    _, i, j = np.intersect1d(a[1], b[1], assume_unique=True, return_indices=True)
-    least = float(np.minimum(a[2][i], b[2][j]).sum())
-    return least / (a[0] + b[0] - least) if least else 0.0
+def compare(p: tuple, m: tuple, threshold: float = THRESHOLD) -> tuple[bool, list[int]]:
+    """Whether a pivot p and a member m are similar, and the prefix of m's differences from p that partners of m must meet.
 
-
-def verified(pairs: DataFrame, signed: DataFrame, n_docs: int, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b of the distinct pairs that are similar. a may be in a third of all pairs: it is joined last, by a join that Spark can split, and its shingles are not shuffled with each pair."""
+    A text is (total weight, hashes ascending, weights, document frequencies). With D
+    the weights that m lacks of p and A those that it has beyond p, the intersection
+    of two members x and y is |p| - D(x) - D(y) + s and the union |p| + A(x) + A(y) - s,
+    where s is the weight of the differences that they share. So if y is not similar
+    to p, a partner x of y shares differences with it: as much as need below, of
+    either's. Differences are ordered, rare ones first; two texts that share that
+    much share an element before the point from which on less than need is left.
+    """
+    total_p, hashes_p, weights_p, df_p = p
+    total_m, hashes_m, weights_m, df_m = m
+    every = np.union1d(hashes_p, hashes_m)
+    wp, wm, df = np.zeros(len(every)), np.zeros(len(every)), np.zeros(len(every))
+    at_p, at_m = np.searchsorted(every, hashes_p), np.searchsorted(every, hashes_m)
+    wp[at_p], wm[at_m] = weights_p, weights_m
+    df[at_p], df[at_m] = df_p, df_m
+    alone_p, alone_m = max(0.0, total_p - weights_p.sum()), max(0.0, total_m - weights_m.sum())
+    change = wm - wp
+    more, less = np.maximum(change, 0), np.maximum(-change, 0)
+    added, lacking = more.sum() + alone_m, less.sum() + alone_p
+    similar = total_p - lacking >= threshold * (total_p + added) * (1 - 1e-12)
+    if similar:
+        need = (threshold * added + lacking) / (1 + threshold)
+    else:
+        need = (threshold * (total_p + added) - total_p + lacking) / (1 + threshold)
+    new, gone = np.flatnonzero(more), np.flatnonzero(less)
+    new, gone = new[np.lexsort((every[new], df[new]))], gone[np.lexsort((every[gone], -df[gone]))]
+    weight = np.concatenate([more[new], less[gone], [alone_p]])
+    element = np.concatenate([every[new] * np.uint64(2), every[gone] * np.uint64(2) + np.uint64(1), np.zeros(1, np.uint64)])
+    left = np.cumsum(weight[::-1])[::-1]  # from each element on
+    return bool(similar), element[left >= max(need, 1e-9) * (1 - 1e-9)].astype(np.int64).tolist()
+
+
+def compared(pairs: DataFrame, signed: DataFrame, n_docs: int) -> DataFrame:
+    """a, b, linked, elements of distinct pairs. a may be in a third of all pairs: it is joined last, by a join that Spark can split, and its shingles are not shuffled with each pair."""
     columns = ("total", "hashes", "tf", "df")
     one = lambda p: signed.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in columns))
     both = pairs.join(one("b").hint("merge"), "b").join(one("a").hint("merge"), "a")
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,21 +398,15 @@ def verified(pairs: DataFrame, signed: DataFrame, n_docs: int, threshold: float
                     if len(known) > 1000:
                         known.clear()
                     total, hashes, tf, df = (batch.column(2 + 4 * at + i)[row].as_py() for i in range(4))
-                    known[node] = (total, unpack_sorted(hashes), unpack(tf).astype(np.float64) * idf(unpack(df).astype(np.float64), n_docs))
+                    df = unpack(df).astype(np.float64)
+                    known[node] = (total, unpack_sorted(hashes), unpack(tf).astype(np.float64) * idf(df, n_docs), df)
                 return known[node]
 
-            keep = []
-            for row in range(batch.num_rows):
-                x, y = got(row, 0), got(row, 1)
-                small, large = sorted((x[0], y[0]))
-                keep.append(small >= threshold * large and weighted_jaccard(x, y) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", *(f"{p}_{c}" for p in "ab" for c in columns)).mapInArrow(run, "a long, b long")
-
+            rows = [compare(got(i, 0), got(i, 1)) for i in range(batch.num_rows)]
+            columns = [batch.column(0), batch.column(1), [r[0] for r in rows], [r[1] for r in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(columns, kinds, strict=True)], ["a", "b", "linked", "elements"])
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return both.select("a", "b", *(f"{p}_{c}" for p in "ab" for c in columns)).mapInArrow(run, "a long, b long, linked boolean, elements array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -399,25 +425,22 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(signed: DataFrame, n_docs: int) -> DataFrame:
-    """node, component of the texts that a link joins to another. The module's text says why no candidate link is lost."""
-    members = materialise(signed.select("node", F.explode("bands").alias("band")), "bands")
-    pivots = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), "node")).alias("low"), F.count("*").alias("n"))
-    pivots = materialise(pivots.where("n > 1").select("band", F.col("low.node").alias("pivot")), "pivots")
-    met = members.join(pivots, "band")
-    first = materialise(met.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = materialise(verified(first, signed, n_docs), "linked")
+    """node, component of the texts that a link joins to another."""
+    members = materialise(signed.select("node", "central", F.explode("bands").alias("band")), "bands")
+    pivots = members.groupBy("band").agg(F.max(F.struct("central", "node")).alias("top"), F.count("*").alias("n"))
+    pivots = materialise(pivots.where("n > 1").select("band", F.col("top.node").alias("pivot")), "pivots")
+    first = members.join(pivots, "band").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    first = materialise(compared(materialise(first, "pairs"), signed, n_docs), "compared")
+    links = first.where("linked").select("a", "b")
     joined = components(links)
-    # bands whose members are not yet one component
-    placed = materialise(met.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "placed")
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    split = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    split = materialise(split.select("band", F.col("top.component").alias("largest")), "split")
-    open_ = placed.join(split, "band")
-    outside = open_.where("component <> largest").select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = open_.select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
-    apart = outside.join(rest, "band").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # texts that are not similar to their pivot, with the pivot's other texts in other components that share their differences
+    placed = first.join(joined.select(F.col("node").alias("b"), "component"), "b", "left").select(F.col("a").alias("pivot"), "b", "linked", F.coalesce("component", "b").alias("component"), F.explode("elements").alias("element"))
+    placed = materialise(placed, "differences")
+    y, x = placed.where("not linked").drop("linked").toDF("pivot", "y", "cy", "element"), placed.drop("linked").toDF("pivot", "x", "cx", "element")
+    met = y.join(x, ["pivot", "element"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = materialise(verified(apart.join(done, ["a", "b"], "left_anti"), signed, n_docs), "linked")
+    late = compared(materialise(met.join(done, ["a", "b"], "left_anti"), "pairs"), signed, n_docs).where("linked").select("a", "b")
+    late = materialise(late, "linked")
     return components(links.union(late)) if late.limit(1).count() else joined
 
 
