@@ -8,8 +8,10 @@
    a sum over all tasks; the left singular vectors of that sum span the corpus's
    strongest latent directions. The range is widened by the items' own vectors, so
    cutting off the other directions loses nothing of a query.
-3. Every passage, at steps of half a passage, is projected into that space, and
-   its cosine with every item taken. Candidates have COSINE or more.
+3. Every passage, at steps of half a passage, is compared with every item: its
+   products with the items come from the items' sparse terms, and passages with a
+   plain cosine of FLOOR are projected into that space. Candidates have a latent
+   cosine of COSINE or more.
 4. A candidate's surroundings are compared with the whole item: the longest common
    subsequence of words must hold LCS_SHARE of the item, the item's rarer terms
    must be there to COVERAGE of their weight, and an answer that the item states
@@ -41,20 +43,22 @@ RANK = 32
 ITEMS = 256
 #: Words of an item that make one query vector.
 PART = 2 * PASSAGE
+FLOOR = 0.2
 COSINE = 0.4
 LCS_SHARE = 0.6
 COVERAGE = 0.6
 #: A term in more than this share of passages, and of items, is a stop term: it weighs nothing in a vector, but counts in a subsequence.
 STOP_SHARE = 0.02
 
-EDGE = re.compile(r"^\W+|\W+$")
+#: Taken off both ends of a token.
+EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’‚…–—¿¡·•"
 ANSWER = re.compile(r"(?:^|\n|\s)(?:answer|réponse|antwort|respuesta|a)\s*:\s*(.+?)\s*$", re.I | re.S)
 
 RESULT = "key long, item_id long, lcs_words long, item_words long, cosine double"
 
 
 def word_of(token: str) -> str:
-    return EDGE.sub("", token.lower())
+    return token.lower().strip(EDGE)
 
 
 class Numbers(dict):
@@ -66,7 +70,7 @@ class Numbers(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[token] = n = self.terms.get(word_of(token), 0)
+        self[token] = n = self.terms.get(token.lower().strip(EDGE), 0)
         return n
 
 
@@ -208,48 +212,84 @@ def _holds(numbers: np.ndarray, answer: list[int]) -> bool:
     return any(numbers[h : h + len(answer)].tolist() == answer for h in hits)
 
 
+def _postings(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a matrix, sparse: where each begins, columns, values."""
+    rows, columns = np.nonzero(table)
+    return np.searchsorted(rows, np.arange(len(table) + 1)), columns, table[rows, columns]
+
+
+def _products(ids: np.ndarray, rank: np.ndarray, cells: int, postings: tuple, queries: int) -> np.ndarray:
+    """Cells by queries: the products of the cells' terms with the queries."""
+    start, column, value = postings
+    n = start[ids + 1] - start[ids]
+    at = np.repeat(start[ids] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    return np.bincount(np.repeat(rank, n) * queries + column[at], weights=value[at], minlength=cells * queries).reshape(cells, queries)
+
+
+def _candidates(ids: np.ndarray, cells: np.ndarray, weight: np.ndarray, vectors: np.ndarray, postings: tuple, queries: int, block: int = 8192) -> Iterator[tuple[int, int, float]]:
+    """(first cell, query, latent cosine) of the passages near a query. A passage is a cell and the one after it."""
+    found, rank = np.unique(cells, return_inverse=True)
+    for a in range(0, len(found), block):
+        z = min(a + block, len(found))
+        more = z < len(found) and found[z] == found[z - 1] + 1
+        part = slice(*np.searchsorted(rank, (a, z + more)))
+        mine, r = ids[part], rank[part] - a
+        here = found[a : z + more]
+        joined = np.flatnonzero(np.diff(here) == 1)
+        products = _products(mine, r, len(here), postings, queries)
+        passages = products.copy()
+        passages[joined] += products[joined + 1]
+        # each token is in the passage of its cell and, if it follows at once, in that of the cell before
+        second = np.isin(r, joined + 1)
+        pairs, tf = np.unique(np.concatenate((r, r[second] - 1)) * len(weight) + np.concatenate((mine, mine[second])), return_counts=True)
+        norms = np.sqrt(np.bincount(pairs // len(weight), weights=(weight[pairs % len(weight)] * tf) ** 2, minlength=len(here)))
+        near_p, near_q = np.nonzero(passages[: z - a] >= FLOOR * norms[: z - a, None])
+        if not len(near_p):
+            continue
+        need = np.unique(near_p)
+        adjacent = np.isin(need, joined)
+        wanted = np.unique(np.concatenate((need, need[adjacent] + 1)))
+        chosen = np.isin(r, wanted)
+        _, sums = _sums(vectors, mine[chosen], r[chosen])
+        latent = sums[np.searchsorted(wanted, need)]
+        latent[adjacent] += sums[np.searchsorted(wanted, need[adjacent] + 1)]
+        length = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+        cosine = passages[near_p, near_q] / length[np.searchsorted(need, near_p)]
+        for p, q, c in zip(near_p[cosine >= COSINE], near_q[cosine >= COSINE], cosine[cosine >= COSINE], strict=True):
+            yield int(here[p]), int(q), float(min(c, 1.0))
+
+
 def _search(numbered: DataFrame, weight: np.ndarray, width: str, basis: np.ndarray, queries: np.ndarray, owner: list[int], items: list[np.ndarray], answers: list[list[int]], item_ids: list[int]) -> DataFrame:
-    sent = numbered.sparkSession.sparkContext.broadcast((weight, (basis * weight[:, None]).astype(np.float32), queries, owner, items, answers, item_ids))
+    sent = numbered.sparkSession.sparkContext.broadcast((weight, (basis * weight[:, None]).astype(np.float32), _postings(queries * weight[:, None]), owner, items, answers, item_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, vectors, queries, owner, items, answers, item_ids = sent.value
+        weight, vectors, postings, owner, items, answers, item_ids = sent.value
         masks = []
         for item in items:
             masks.append({})
             for i, w in enumerate(item.tolist()):
                 masks[-1][w] = masks[-1].get(w, 0) | 1 << i
         mass = [weight[np.unique(item)].sum() for item in items]
-        owners = np.array(owner)
         for batch in batches:
             out = []
             for at in range(0, batch.num_rows, 512):
                 keys = batch.column(0).slice(at, 512).to_pylist()
                 texts, ids, cells, firsts = _gathered(batch.column(1).slice(at, 512), width, STEP, weight)
-                if not len(ids):
-                    continue
-                found, sums = _sums(vectors, ids, cells)
-                joined = np.flatnonzero(np.diff(found) == 1)
-                passages = sums.copy()
-                passages[joined] += sums[joined + 1]
                 best: dict[tuple[int, int], tuple] = {}
-                for a in range(0, len(found), 4096):
-                    part = passages[a : a + 4096]
-                    cosine = part @ queries
-                    cosine /= np.maximum(np.linalg.norm(part, axis=1), 1e-9)[:, None]
-                    for p, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        text = int(np.searchsorted(firsts, found[a + p], side="right")) - 1
-                        item = int(owners[q])
-                        n = len(items[item])
-                        if (text, item) in best and best[text, item][0] >= n:
-                            continue
-                        start = (int(found[a + p]) - firsts[text]) * STEP
-                        near = texts[text][max(0, start - n) : start + PASSAGE + n]
-                        length = lcs_length(masks[item], n, near[near > 0].tolist())
-                        if length < LCS_SHARE * n or (text, item) in best and best[text, item][0] >= length:
-                            continue
-                        there = np.intersect1d(near, items[item])
-                        if weight[there].sum() >= COVERAGE * mass[item] and _holds(near, answers[item]):
-                            best[text, item] = (length, n, float(cosine[p, q]))
+                for cell, q, cosine in _candidates(ids, cells, weight, vectors, postings, len(owner)):
+                    text = int(np.searchsorted(firsts, cell, side="right")) - 1
+                    item = owner[q]
+                    n = len(items[item])
+                    if (text, item) in best and best[text, item][0] >= n:
+                        continue
+                    start = (cell - firsts[text]) * STEP
+                    near = texts[text][max(0, start - n) : start + PASSAGE + n]
+                    length = lcs_length(masks[item], n, near[near > 0].tolist())
+                    if length < LCS_SHARE * n or (text, item) in best and best[text, item][0] >= length:
+                        continue
+                    there = np.intersect1d(near, items[item])
+                    if weight[there].sum() >= COVERAGE * mass[item] and _holds(near, answers[item]):
+                        best[text, item] = (length, n, cosine)
                 out += [(keys[t], item_ids[i], *x) for (t, i), x in best.items()]
             kinds = [pa.int64()] * 4 + [pa.float64()]
             columns = zip(*out, strict=True) if out else [[]] * 5
@@ -287,7 +327,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text
         latent, strength, _ = np.linalg.svd(_latent_sum(numbered, weight, width, min(RANK, len(counts))), full_matrices=False)
         basis, _ = np.linalg.qr(np.hstack([queries, latent[:, strength > 1e-9 * max(1e-30, strength[0])]]))
         answer_ids = [[terms.get(w, 0) for w in x] for x in answers]
-        found.append(_search(numbered, weight, width, basis, (basis.T @ queries).astype(np.float32), owner, numbers, answer_ids, [i for i, _ in items]))
+        found.append(_search(numbered, weight, width, basis, queries, owner, numbers, answer_ids, [i for i, _ in items]))
     if not found:
         return spark.createDataFrame([], RESULT)
     every = found[0]
