@@ -346,8 +346,8 @@ def _with_group(groups: int):
     return run
 
 
-def compare(p: tuple, m: tuple, threshold: float = THRESHOLD) -> tuple[bool, list[int]]:
-    """Whether a pivot p and a member m are similar, and the prefix of m's differences from p that partners of m must meet.
+def compare(p: tuple, m: tuple, threshold: float = THRESHOLD) -> tuple[bool, float, float, float, float, list[int]]:
+    """Whether a pivot p and a member m are similar; |p|, A, the part of A that other texts can share, D; and the prefix of m's differences from p that partners of m must meet.
 
     A text is (total weight, hashes ascending, weights, document frequencies). With D
     the weights that m lacks of p and A those that it has beyond p, the intersection
@@ -356,6 +356,7 @@ def compare(p: tuple, m: tuple, threshold: float = THRESHOLD) -> tuple[bool, lis
     to p, a partner x of y shares differences with it: as much as need below, of
     either's. Differences are ordered, rare ones first; two texts that share that
     much share an element before the point from which on less than need is left.
+    Nor can s be more than the smaller of the two texts' A and D: see partners().
     """
     total_p, hashes_p, weights_p, df_p = p
     total_m, hashes_m, weights_m, df_m = m
@@ -378,15 +379,25 @@ def compare(p: tuple, m: tuple, threshold: float = THRESHOLD) -> tuple[bool, lis
     weight = np.concatenate([more[new], less[gone], [alone_p]])
     element = np.concatenate([every[new] * np.uint64(2), every[gone] * np.uint64(2) + np.uint64(1), np.zeros(1, np.uint64)])
     left = np.cumsum(weight[::-1])[::-1]  # from each element on
-    return bool(similar), element[left >= max(need, 1e-9) * (1 - 1e-9)].astype(np.int64).tolist()
+    return bool(similar), float(total_p), float(added), float(more.sum()), float(lacking), element[left >= max(need, 1e-9) * (1 - 1e-9)].astype(np.int64).tolist()
+
+
+def partners(x: str, y: str, threshold: float = THRESHOLD):
+    """Whether two members of a pivot can share enough of their differences from it to be similar, by the sizes alone."""
+    c = lambda name, of: F.col(f"{of}.{name}")
+    most = F.least(c("common", x), c("common", y)) + F.least(c("lacking", x), c("lacking", y))
+    lacking = c("lacking", x) + c("lacking", y)
+    need = (threshold * (c("size", x) + c("added", x) + c("added", y)) - c("size", x) + lacking) / (1 + threshold)
+    return most >= need - 1e-9
 
 
 def compared(pairs: DataFrame, signed: DataFrame, n_docs: int) -> DataFrame:
-    """a, b, linked, elements of distinct pairs. a may be in a third of all pairs: it is joined last, by a join that Spark can split, and its shingles are not shuffled with each pair."""
+    """a, b and what compare() tells of distinct pairs. a may be in a third of all pairs: it is joined last, by a join that Spark can split, and its shingles are not shuffled with each pair."""
     columns = ("total", "hashes", "tf", "df")
     one = lambda p: signed.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in columns))
     both = pairs.join(one("b").hint("merge"), "b").join(one("a").hint("merge"), "a")
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    kinds = [pa.bool_(), *[pa.float64()] * 4, pa.list_(pa.int64())]
+    names = ["a", "b", "linked", "size", "added", "common", "lacking", "elements"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,10 +414,10 @@ def compared(pairs: DataFrame, signed: DataFrame, n_docs: int) -> DataFrame:
                 return known[node]
 
             rows = [compare(got(i, 0), got(i, 1)) for i in range(batch.num_rows)]
-            columns = [batch.column(0), batch.column(1), [r[0] for r in rows], [r[1] for r in rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(columns, kinds, strict=True)], ["a", "b", "linked", "elements"])
+            told = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], names)
 
-    return both.select("a", "b", *(f"{p}_{c}" for p in "ab" for c in columns)).mapInArrow(run, "a long, b long, linked boolean, elements array<long>")
+    return both.select("a", "b", *(f"{p}_{c}" for p in "ab" for c in columns)).mapInArrow(run, "a long, b long, linked boolean, size double, added double, common double, lacking double, elements array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -434,10 +445,11 @@ def linked(signed: DataFrame, n_docs: int) -> DataFrame:
     links = first.where("linked").select("a", "b")
     joined = components(links)
     # texts that are not similar to their pivot, with the pivot's other texts in other components that share their differences
-    placed = first.join(joined.select(F.col("node").alias("b"), "component"), "b", "left").select(F.col("a").alias("pivot"), "b", "linked", F.coalesce("component", "b").alias("component"), F.explode("elements").alias("element"))
+    sizes = ["size", "added", "common", "lacking"]
+    placed = first.join(joined.select(F.col("node").alias("b"), "component"), "b", "left").select(F.col("a").alias("pivot"), "b", "linked", F.coalesce("component", "b").alias("component"), *sizes, F.explode("elements").alias("element"))
     placed = materialise(placed, "differences")
-    y, x = placed.where("not linked").drop("linked").toDF("pivot", "y", "cy", "element"), placed.drop("linked").toDF("pivot", "x", "cx", "element")
-    met = y.join(x, ["pivot", "element"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = placed.where("not linked").alias("y").join(placed.alias("x"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.component") != F.col("y.component")) & partners("x", "y"))
+    met = met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = compared(materialise(met.join(done, ["a", "b"], "left_anti"), "pairs"), signed, n_docs).where("linked").select("a", "b")
     late = materialise(late, "linked")
