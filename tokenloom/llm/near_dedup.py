@@ -346,7 +346,7 @@ def _with_group(groups: int):
     return run
 
 
-def compare(p: tuple, m: tuple, threshold: float = THRESHOLD) -> tuple[bool, float, float, float, float, list[int]]:
+def compare(p: tuple, m: tuple, threshold: float = THRESHOLD) -> tuple[bool, float, float, float, float, list[dict]]:
     """Whether a pivot p and a member m are similar; |p|, A, the part of A that other texts can share, D; and the prefix of m's differences from p that partners of m must meet.
 
     A text is (total weight, hashes ascending, weights, document frequencies). With D
@@ -356,7 +356,8 @@ def compare(p: tuple, m: tuple, threshold: float = THRESHOLD) -> tuple[bool, flo
     to p, a partner x of y shares differences with it: as much as need below, of
     either's. Differences are ordered, rare ones first; two texts that share that
     much share an element before the point from which on less than need is left.
-    Nor can s be more than the smaller of the two texts' A and D: see partners().
+    Nor can s be more than the smaller of the two texts' A and D, or than what is
+    left of either's differences from the first shared one on: see partners().
     """
     total_p, hashes_p, weights_p, df_p = p
     total_m, hashes_m, weights_m, df_m = m
@@ -379,16 +380,18 @@ def compare(p: tuple, m: tuple, threshold: float = THRESHOLD) -> tuple[bool, flo
     weight = np.concatenate([more[new], less[gone], [alone_p]])
     element = np.concatenate([every[new] * np.uint64(2), every[gone] * np.uint64(2) + np.uint64(1), np.zeros(1, np.uint64)])
     left = np.cumsum(weight[::-1])[::-1]  # from each element on
-    return bool(similar), float(total_p), float(added), float(more.sum()), float(lacking), element[left >= max(need, 1e-9) * (1 - 1e-9)].astype(np.int64).tolist()
+    prefix = left >= max(need, 1e-9) * (1 - 1e-9)
+    elements = [{"element": e, "left": x} for e, x in zip(element[prefix].astype(np.int64).tolist(), left[prefix].tolist(), strict=True)]
+    return bool(similar), float(total_p), float(added), float(more.sum()), float(lacking), elements
 
 
 def partners(x: str, y: str, threshold: float = THRESHOLD):
-    """Whether two members of a pivot can share enough of their differences from it to be similar, by the sizes alone."""
+    """Whether two members of a pivot can share enough of their differences from it to be similar, if none comes before the element at hand."""
     c = lambda name, of: F.col(f"{of}.{name}")
     most = F.least(c("common", x), c("common", y)) + F.least(c("lacking", x), c("lacking", y))
     lacking = c("lacking", x) + c("lacking", y)
     need = (threshold * (c("size", x) + c("added", x) + c("added", y)) - c("size", x) + lacking) / (1 + threshold)
-    return most >= need - 1e-9
+    return F.least(most, c("left", x), c("left", y)) >= need - 1e-9
 
 
 def compared(pairs: DataFrame, signed: DataFrame, n_docs: int) -> DataFrame:
@@ -396,7 +399,7 @@ def compared(pairs: DataFrame, signed: DataFrame, n_docs: int) -> DataFrame:
     columns = ("total", "hashes", "tf", "df")
     one = lambda p: signed.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in columns))
     both = pairs.join(one("b").hint("merge"), "b").join(one("a").hint("merge"), "a")
-    kinds = [pa.bool_(), *[pa.float64()] * 4, pa.list_(pa.int64())]
+    kinds = [pa.bool_(), *[pa.float64()] * 4, pa.list_(pa.struct([("element", pa.int64()), ("left", pa.float64())]))]
     names = ["a", "b", "linked", "size", "added", "common", "lacking", "elements"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +420,7 @@ def compared(pairs: DataFrame, signed: DataFrame, n_docs: int) -> DataFrame:
             told = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], names)
 
-    return both.select("a", "b", *(f"{p}_{c}" for p in "ab" for c in columns)).mapInArrow(run, "a long, b long, linked boolean, size double, added double, common double, lacking double, elements array<long>")
+    return both.select("a", "b", *(f"{p}_{c}" for p in "ab" for c in columns)).mapInArrow(run, "a long, b long, linked boolean, size double, added double, common double, lacking double, elements array<struct<element:long,left:double>>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -446,7 +449,7 @@ def linked(signed: DataFrame, n_docs: int) -> DataFrame:
     joined = components(links)
     # texts that are not similar to their pivot, with the pivot's other texts in other components that share their differences
     sizes = ["size", "added", "common", "lacking"]
-    placed = first.join(joined.select(F.col("node").alias("b"), "component"), "b", "left").select(F.col("a").alias("pivot"), "b", "linked", F.coalesce("component", "b").alias("component"), *sizes, F.explode("elements").alias("element"))
+    placed = first.join(joined.select(F.col("node").alias("b"), "component"), "b", "left").select(F.col("a").alias("pivot"), "b", "linked", F.coalesce("component", "b").alias("component"), *sizes, F.inline("elements"))
     placed = materialise(placed, "differences")
     met = placed.where("not linked").alias("y").join(placed.alias("x"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.component") != F.col("y.component")) & partners("x", "y"))
     met = met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
