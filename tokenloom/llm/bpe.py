@@ -17,6 +17,7 @@ text of an added special token in a text is that token, as in the library.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -35,17 +36,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import materialise, table
 
 #: Words in the lexicon, at most.
 LEXICON_WORDS = 65_536
-#: Words that a worker remembers, at most.
-REMEMBERED = 400_000
+#: Chunks of text, and words, that a worker remembers, at most each.
+REMEMBERED = 300_000
 
 #: Fixed: the pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+NEVER, LOW = 1 << 62, (1 << 32) - 1
+
+
+def tight(piece: str) -> bool:
+    """Whether a text may be cut at the blank after this piece: it does not end in white space."""
+    return bool(piece) and not piece[-1].isspace()
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in the vocabulary file: itself, or the next one from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -64,10 +73,11 @@ class Merger:
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab = data["model"]["vocab"]
         self.byte_ids = [vocab[c] for c in letters]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: left << 32 | right: rank << 32 | merged
+        self.pairs: dict[int, int] = {}
         for rank, merge in enumerate(data["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.pairs[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.token_bytes: list[bytes] = [b""] * size
         for token, i in vocab.items():
@@ -78,22 +88,26 @@ class Merger:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one word. A heap of neighbouring pairs: n log n for a word of n bytes."""
+        """The ids of one word, by rank and then from the left. Long words keep a heap of neighbouring pairs: n log n for n bytes."""
         ids = [self.byte_ids[b] for b in word]
-        n, pairs = len(ids), self.pairs
-        if n < 24:
-            while len(ids) > 1:
-                best, at = None, 0
-                for i in range(len(ids) - 1):
-                    found = pairs.get((ids[i], ids[i + 1]))
-                    if found is not None and (best is None or found < best):
-                        best, at = found, i
-                if best is None:
+        n, get = len(ids), self.pairs.get
+        if n < 40:
+            found = [get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+            while found:
+                best = min(found)
+                if best == NEVER:
                     break
-                ids[at : at + 2] = [best[1]]
+                i = found.index(best)
+                ids[i : i + 2] = [new] = [best & LOW]
+                del found[i]
+                if i:
+                    found[i - 1] = get(ids[i - 1] << 32 | new, NEVER)
+                if i < len(found):
+                    found[i] = get(new << 32 | ids[i + 1], NEVER)
             return ids
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := pairs.get((ids[i], ids[i + 1])))]
+        heap = [(x, i, ids[i], ids[i + 1]) for i in range(n - 1) if (x := get(ids[i] << 32 | ids[i + 1])) is not None]
+        heap = [(x >> 32, i, a, b, x & LOW) for x, i, a, b in heap]
         heapq.heapify(heap)
         while heap:
             _, i, left, right, new = heapq.heappop(heap)
@@ -104,20 +118,18 @@ class Merger:
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (found := pairs.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (found[0], a, ids[a], ids[b], found[1]))
+                if a >= 0 and b < n and (x := get(ids[a] << 32 | ids[b])) is not None:
+                    heapq.heappush(heap, (x >> 32, a, ids[a], ids[b], x & LOW))
         return [x for x in ids if x >= 0]
 
-    def pieces(self, text: str) -> Iterator[tuple[list[str], int | None]]:
-        """The words between special tokens, each with the id of the token that follows them."""
-        if self.specials is None:
-            yield self.words.findall(text), None
-            return
+    def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
+        """The text between special tokens, each with the id of the token that follows it."""
         at = 0
-        for m in self.specials.finditer(text):
-            yield self.words.findall(text[at : m.start()]), self.special[m[0]]
-            at = m.end()
-        yield self.words.findall(text[at:]), None
+        if self.specials is not None and any(t in text for t in self.special):
+            for m in self.specials.finditer(text):
+                yield text[at : m.start()], self.special[m[0]]
+                at = m.end()
+        yield text[at:], None
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -188,63 +200,92 @@ class Lexicon:
         states, arcs, words, self.root = struct.unpack_from("<4I", self.map)
         at = 16
 
-        def part(n: int, kind: str) -> np.ndarray:
+        whole = memoryview(self.map)
+
+        def part(n: int, size: int = 4) -> memoryview:
             nonlocal at
-            out = np.frombuffer(self.map, kind, n, at)
-            at += out.nbytes
-            return out
+            at += n * size
+            return whole[at - n * size : at].cast("I" if size == 4 else "B")
 
-        self.first, self.targets, self.skips = part(states + 1, "<u4"), part(arcs, "<u4"), part(arcs, "<u4")
-        self.offsets = part(words + 1, "<u4")
-        self.ids = part(int(self.offsets[-1]), "<u4")
-        self.marks, self.finals = part(arcs, "u1"), part(states, "u1")
-        self.marks_at = at - states - arcs
+        self.first, self.targets, self.skips, self.offsets = part(states + 1), part(arcs), part(arcs), part(words + 1)
+        self.ids = part(self.offsets[-1])
+        self.marks_at = at
+        part(arcs, 1)  # the arcs' bytes: searched in the map itself
+        self.finals = part(states, 1)
 
     def get(self, word: bytes) -> list[int] | None:
-        state, number = self.root, 0
-        for b in word:
-            low, high = int(self.first[state]), int(self.first[state + 1])
-            arc = self.map.find(b.to_bytes(), self.marks_at + low, self.marks_at + high)
+        state, number, find, first, base = self.root, 0, self.map.find, self.first, self.marks_at
+        for i in range(len(word)):
+            low, high = first[state], first[state + 1]
+            arc = find(word[i : i + 1], base + low, base + high)
             if arc < 0:
                 return None
-            arc -= self.marks_at
-            number += int(self.skips[arc])
-            state = int(self.targets[arc])
+            arc -= base
+            number += self.skips[arc]
+            state = self.targets[arc]
         if not self.finals[state]:
             return None
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist()
 
 
 class Coder:
-    """Encodes and decodes in a worker: lexicon first, exact merging for the rest."""
+    """Encodes and decodes in a worker: lexicon first, exact merging for the rest. It remembers what it meets first, up to a bound."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon | None):
-        self.merger, self.lexicon, self.known = merger, lexicon, {}
+        self.merger, self.lexicon, self.known, self.words = merger, lexicon, {}, {}
 
-    def word(self, word: str) -> tuple[list[int], str]:
-        data = word.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.get(data) if self.lexicon else None
+    def word(self, word: str) -> list[int]:
+        ids = self.words.get(word)
         if ids is None:
-            ids = self.merger.merge(data)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = found = (ids, ",".join(map(str, ids)))
-        return found
+            data = word.encode("utf-8", "surrogatepass")
+            ids = self.lexicon.get(data) if self.lexicon else None
+            if ids is None:
+                ids = self.merger.merge(data)
+            if len(self.words) < REMEMBERED:
+                self.words[word] = ids
+        return ids
+
+    def _codes(self, chunk: str) -> tuple[list[int], str]:
+        ids = [i for w in self.merger.words.findall(chunk) for i in self.word(w)]
+        return ids, ",".join(map(str, ids))
+
+    def _meet(self, chunk: str, rest: Iterator[str], key: str | None) -> tuple[list[int], str]:
+        """The codes of a chunk that is not remembered, with the pieces after it up to a safe cut."""
+        if tight(chunk) and chunk != " ":
+            found = self._codes(chunk)
+            if key and len(self.known) < REMEMBERED:
+                self.known[key] = found
+            return found
+        for piece in rest:
+            chunk += " " + piece
+            if tight(piece):
+                break
+        return self._codes(chunk)
 
     def encode(self, text: str) -> tuple[list[int], list[str]]:
-        """The ids, and their decimal forms word by word."""
+        """The ids, and their decimal forms piece by piece.
+
+        A text is cut before blanks. A word holds a blank at its front at most, and
+        white space looks at what follows only where a run of it ends; so a cut is safe
+        where the character before the blank is not white space, and the ids of what
+        lies between safe cuts depend on that alone.
+        """
         ids: list[int] = []
         said: list[str] = []
-        known, extend, say = self.known, ids.extend, said.append
-        for words, special in self.merger.pieces(text):
-            for w in words:
-                found = known.get(w) or self.word(w)
+        known, extend, say = self.known.get, ids.extend, said.append
+        for part, special in self.merger.parts(text):
+            pieces = iter(part.split(" "))
+            found = self._meet(next(pieces), pieces, None)
+            extend(found[0])
+            say(found[1])
+            for piece in pieces:
+                found = known(piece) or self._meet(" " + piece, pieces, piece)
                 extend(found[0])
                 say(found[1])
             if special is not None:
                 ids.append(special)
                 said.append(str(special))
-        return ids, said
+        return ids, [x for x in said if x]
 
 
 _LOADED: dict[tuple, Coder] = {}
@@ -269,7 +310,7 @@ def _merger(vocabulary: str) -> Merger:
 
 
 def word_counts(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataFrame:
-    """word, n over all texts. Each task counts what it reads, and hands on and forgets its counts when they fill its table."""
+    """word, n over all texts. Each task counts the pieces between blanks, cuts each distinct one into words, and hands on and forgets its counts when they fill its table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -277,15 +318,19 @@ def word_counts(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
         merger, counts = _merger(vocabulary), Counter()
 
         def rows() -> Iterator[pa.RecordBatch]:
-            words = list(counts)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[w] for w in part], pa.int64())], ["word", "n"])
+            words: Counter = Counter()
+            for piece, n in counts.items():
+                for w in merger.words.findall(" " + piece):
+                    words[w] += n
+            names = list(words)
+            for at in range(0, len(names), 50_000):
+                part = names[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([words[w] for w in part], pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                for words, _ in merger.pieces(text.as_py() or ""):
-                    counts.update(words)
+                for part, _ in merger.parts(text.as_py() or ""):
+                    counts.update(part.split(" "))
                 if len(counts) > REMEMBERED:
                     yield from rows()
                     counts.clear()
@@ -297,7 +342,15 @@ def word_counts(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS, text_column: str = "text") -> str | None:
     """Compile the words that occur most often and give the file to all executors, also to those that start later. Its name, or None without words."""
     spark = docs.sparkSession
-    rows = word_counts(docs, vocabulary, text_column).where("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    counts = materialise(word_counts(docs, vocabulary, text_column).where("n > 1"), "word-counts")
+    # The least count that at most size words reach, to an eighth of a power of two: what is collected has size rows at most in all.
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    room, least = size, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # some hundred rows
+        if r.words > room:
+            break
+        room, least = room - r.words, r.level
+    rows = counts.where(level >= least).select("word").collect() if least is not None else []
     words = sorted({r.word.encode("utf-8", "surrogatepass") for r in rows})
     if not words:
         return None
@@ -320,6 +373,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, id_column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary, lexicon)
+        gc.disable()  # what is remembered has no cycles
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -333,6 +387,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, id_column: str
                         d.append(sha(back))
                 columns = [pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(d, pa.string())] if digests else [pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema.names)
+        gc.enable()
 
     return docs.mapInArrow(run, schema)
 
