@@ -154,18 +154,21 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, text_column: str = "text"
     """entity, word, general: the words that give an entity away; general if enough documents use the word without it."""
     seen = near.select("entity", "word", "context").distinct()
     together = seen.groupBy("entity", "word").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_contexts)
-    together = materialise(together, "pii-together")
     entities = near.groupBy("entity").agg(F.countDistinct("context").alias("n_entity"))
+    # Documents that hold a word beside any entity are documents that hold it: words that this alone rules out are not counted in the corpus.
+    beside = near.groupBy("word").agg(F.countDistinct("row").alias("n_beside"))
+    total = F.lit(float(max(1, docs.count())))
+    information = F.log2(total / F.col("n_entity"))
+    told = lambda pmi: F.when(information > 0, F.least(pmi / information, F.lit(1.0))).otherwise(F.lit(0.0))
+    pmi = lambda n: F.log2(F.col("n_both") * total / (F.col("n_entity") * n))
+    together = together.join(entities, "entity").join(beside, "word")
+    together = materialise(together.where(told(pmi(F.greatest("n_beside", "n_both"))) >= disclosure), "pii-together")
     words = together.select("word").distinct()
     said = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_column), F.lit(""))), r"[^\p{L}]+"))).alias("word"))
     in_corpus = said.join(words, "word").groupBy("word").agg(F.count("*").alias("n_word"))
-    total = F.lit(float(max(1, docs.count())))
     n_word = F.greatest(F.coalesce("n_word", F.lit(0)), "n_both").cast("double")
-    scored = together.join(entities, "entity").join(in_corpus, "word", "left").withColumn("n_word", n_word)
-    information = F.log2(total / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_word")))
-    told = F.when(information > 0, F.least(pmi / information, F.lit(1.0))).otherwise(F.lit(0.0))
-    return scored.withColumn("disclosure", told).where(F.col("disclosure") >= disclosure).select("entity", "word", "disclosure", (F.col("n_word") > 2 * F.col("n_both")).alias("general"))
+    scored = together.join(in_corpus, "word", "left").withColumn("n_word", n_word).withColumn("disclosure", told(pmi(F.col("n_word"))))
+    return scored.where(F.col("disclosure") >= disclosure).select("entity", "word", "disclosure", (F.col("n_word") > 2 * F.col("n_both")).alias("general"))
 
 
 def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
