@@ -221,12 +221,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without its dropped lines."""
     marked, name = with_bitmaps(docs, line_bitmaps(docs))
-    at, end = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    at, end = names.index("text"), len(names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() if b.as_py() is None else kept_lines(t.as_py(), b.as_py())[2] for t, b in zip(batch.column(at), batch.column(end), strict=True)]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(end)]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return recount(marked.select(*(F.col(f"`{c}`") for c in docs.columns), name).mapInArrow(apply, docs.schema))
