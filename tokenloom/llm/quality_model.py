@@ -33,6 +33,8 @@ BUCKETS = 1 << 15
 EM_STEPS = 200
 EPOCHS = 300
 THRESHOLD = 0.5
+#: Words that each text is taken to have besides its own, of no weight: short texts lean on the constant.
+PRIOR_WORDS = 10
 
 
 def measures(text: str, words: list[str]) -> dict[str, float]:
@@ -116,20 +118,19 @@ def fit_accuracies(patterns: dict[str, int], steps: int = EM_STEPS) -> tuple[flo
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Logistic regression on word buckets, shape buckets and measures; full-batch steps of Adam, soft labels, classes of equal weight."""
+    """Logistic regression on word buckets, shape buckets and measures; full-batch steps of Adam, soft labels."""
     size = np.array([len(r[0]) for r in rows])
     owner = np.repeat(np.arange(len(rows)), size)
     codes = np.concatenate([r[0] for r in rows]) if len(owner) else np.zeros(0, np.int64)
     words, shapes = codes // BUCKETS, codes % BUCKETS
-    share = 1 / np.maximum(size, 1)[owner]
+    share = 1 / (size + PRIOR_WORDS)[owner]
     dense = np.stack([r[1] for r in rows])
     theta = np.zeros(2 * BUCKETS + dense.shape[1] + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    balance = np.where(target > 0.5, 0.5 / max(1e-9, (target > 0.5).mean()), 0.5 / max(1e-9, (target <= 0.5).mean()))
     for step in range(1, epochs + 1):
         a, b, c, d = theta[:BUCKETS], theta[BUCKETS : 2 * BUCKETS], theta[2 * BUCKETS : -1], theta[-1]
         z = np.bincount(owner, weights=(a[words] + b[shapes]) * share, minlength=len(rows)) + dense @ c + d
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * balance / len(rows)
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
         x = e[owner] * share
         gradient = np.concatenate([np.bincount(words, weights=x, minlength=BUCKETS), np.bincount(shapes, weights=x, minlength=BUCKETS), e @ dense, [e.sum()]])
         gradient[:-1] += 1e-5 * theta[:-1]
@@ -204,7 +205,7 @@ def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str =
             n, said, scores = [], [], []
             for text in batch.column(1):
                 codes, m = _look(text.as_py() or "", buckets)
-                z = constant + (float((words[codes // BUCKETS] + shapes[codes % BUCKETS]).mean()) if len(codes) else 0.0)
+                z = constant + float((words[codes // BUCKETS] + shapes[codes % BUCKETS]).sum()) / (len(codes) + PRIOR_WORDS)
                 z += sum(float(w) * m[k] for w, k in zip(dense, DENSE, strict=True))
                 n.append(len(codes))
                 said.append(votes(m))
