@@ -26,10 +26,12 @@ import os
 import struct
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +42,8 @@ from .common import materialise, table
 
 #: Words in the lexicon, at most.
 LEXICON_WORDS = 65_536
-#: Chunks of text, and words, that a worker remembers, at most each.
-REMEMBERED = 300_000
+#: Pieces of text, and words, that a worker remembers, at most each: about 0.2 kB a piece.
+REMEMBERED = 700_000
 
 #: Fixed: the pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,8 +84,12 @@ class Merger:
         self.token_bytes: list[bytes] = [b""] * size
         for token, i in vocab.items():
             self.token_bytes[i] = bytes(byte_of[c] for c in token)
+        self.number = {b: i for i, b in enumerate(self.token_bytes) if b}
+        self.neighbours: dict[int, bool] = {}
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
+        # Longest tokens first need every token to be what merging its own bytes gives.
+        self.sound = all(self.merge(b) == [i] for b, i in self.number.items())
         self.words = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -122,6 +128,53 @@ class Merger:
                     heapq.heappush(heap, (x >> 32, a, ids[a], ids[b], x & LOW))
         return [x for x in ids if x >= 0]
 
+    def fits(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of two tokens gives these two tokens."""
+        key = left << 32 | right
+        found = self.neighbours.get(key)
+        if found is None:
+            if len(self.neighbours) > REMEMBERED:
+                self.neighbours.clear()
+            self.neighbours[key] = found = self.merge(self.token_bytes[left] + self.token_bytes[right]) == [left, right]
+        return found
+
+    def tokens(self, word: bytes) -> list[int]:
+        """As merge(), by longest tokens first.
+
+        A row of tokens is what merging gives if and only if each two neighbours are
+        what merging their bytes gives, so the first row found with such neighbours
+        alone is it; where no token fits, the last one makes way for a shorter one.
+        """
+        n, number, known = len(word), self.number.get, self.neighbours.get
+        if n > 64:
+            return self.merge(word)
+        out: list[int] = []
+        ends: list[int] = []
+        start, end = 0, n
+        while start < n:
+            last = out[-1] if out else -1
+            while end > start:
+                token = number(word[start:end])
+                if token is not None:
+                    if last < 0:
+                        break
+                    good = known(last << 32 | token)
+                    if good is None:
+                        good = self.fits(last, token)
+                    if good:
+                        break
+                end -= 1
+            if end > start:
+                out.append(token)
+                ends.append(end)
+                start, end = end, n
+            else:
+                out.pop()
+                end = ends.pop()
+                start = ends[-1] if ends else 0
+                end -= 1
+        return out
+
     def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The text between special tokens, each with the id of the token that follows it."""
         at = 0
@@ -229,63 +282,67 @@ class Lexicon:
 
 
 class Coder:
-    """Encodes and decodes in a worker: lexicon first, exact merging for the rest. It remembers what it meets first, up to a bound."""
+    """Encodes and decodes in a worker: lexicon first, exact merging for the rest. It remembers what it meets first, up to a bound, as packed ids."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon | None):
         self.merger, self.lexicon, self.known, self.words = merger, lexicon, {}, {}
+        self.width = "H" if len(merger.token_bytes) <= 1 << 16 else "I"
+        digits = len(str(len(merger.token_bytes)))
+        self.decimal = np.array([f"{i}," for i in range(len(merger.token_bytes))], f"S{digits + 1}")
 
-    def word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
             data = word.encode("utf-8", "surrogatepass")
             ids = self.lexicon.get(data) if self.lexicon else None
-            if ids is None:
-                ids = self.merger.merge(data)
+            found = array(self.width, ids if ids is not None else self.merger.tokens(data) if self.merger.sound else self.merger.merge(data)).tobytes()
             if len(self.words) < REMEMBERED:
-                self.words[word] = ids
-        return ids
-
-    def _codes(self, chunk: str) -> tuple[list[int], str]:
-        ids = [i for w in self.merger.words.findall(chunk) for i in self.word(w)]
-        return ids, ",".join(map(str, ids))
-
-    def _meet(self, chunk: str, rest: Iterator[str], key: str | None) -> tuple[list[int], str]:
-        """The codes of a chunk that is not remembered, with the pieces after it up to a safe cut."""
-        if tight(chunk) and chunk != " ":
-            found = self._codes(chunk)
-            if key and len(self.known) < REMEMBERED:
-                self.known[key] = found
-            return found
-        for piece in rest:
-            chunk += " " + piece
-            if tight(piece):
-                break
-        return self._codes(chunk)
-
-    def encode(self, text: str) -> tuple[list[int], list[str]]:
-        """The ids, and their decimal forms piece by piece.
-
-        A text is cut before blanks. A word holds a blank at its front at most, and
-        white space looks at what follows only where a run of it ends; so a cut is safe
-        where the character before the blank is not white space, and the ids of what
-        lies between safe cuts depend on that alone.
+                self.words[word] = found
+        return found
+
+    def codes(self, chunk: str) -> bytes:
+        return b"".join(map(self.word, self.merger.words.findall(chunk)))
+
+    def segment(self, text: str) -> bytes:
+        """The packed ids of a text without special tokens.
+
+        It is cut before blanks. A word holds a blank at its front at most, and white
+        space looks at what follows only where a run of it ends; so a cut is safe where
+        the character before the blank is not white space, and the ids of what lies
+        between safe cuts depend on that alone.
         """
-        ids: list[int] = []
-        said: list[str] = []
-        known, extend, say = self.known.get, ids.extend, said.append
+        pieces = text.split(" ")
+        packed = list(map(self.known.get, pieces))
+        packed[0] = None  # no blank before it
+        at = 0
+        while True:
+            try:
+                at = packed.index(None, at)
+            except ValueError:
+                return b"".join(packed)
+            piece = pieces[at]
+            if at and tight(piece):
+                packed[at] = found = self.codes(" " + piece)
+                if len(self.known) < REMEMBERED:
+                    self.known[piece] = found
+                continue
+            end = at + 1
+            while end < len(pieces) and not tight(pieces[end - 1]):
+                end += 1
+            packed[at] = self.codes((" " if at else "") + " ".join(pieces[at:end]))
+            packed[at + 1 : end] = [b""] * (end - at - 1)
+
+    def encode(self, text: str) -> np.ndarray:
+        out = []
         for part, special in self.merger.parts(text):
-            pieces = iter(part.split(" "))
-            found = self._meet(next(pieces), pieces, None)
-            extend(found[0])
-            say(found[1])
-            for piece in pieces:
-                found = known(piece) or self._meet(" " + piece, pieces, piece)
-                extend(found[0])
-                say(found[1])
+            out.append(self.segment(part))
             if special is not None:
-                ids.append(special)
-                said.append(str(special))
-        return ids, [x for x in said if x]
+                out.append(array(self.width, [special]).tobytes())
+        return np.frombuffer(b"".join(out), self.width)
+
+    def said(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return self.decimal[ids].tobytes().replace(b"\0", b"")[:-1]
 
 
 _LOADED: dict[tuple, Coder] = {}
@@ -313,27 +370,25 @@ def word_counts(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
     """word, n over all texts. Each task counts the pieces between blanks, cuts each distinct one into words, and hands on and forgets its counts when they fill its table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        merger, counts = _merger(vocabulary), Counter()
+        merger, words = _merger(vocabulary), {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            words: Counter = Counter()
-            for piece, n in counts.items():
-                for w in merger.words.findall(" " + piece):
-                    words[w] += n
             names = list(words)
             for at in range(0, len(names), 50_000):
                 part = names[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([words[w] for w in part], pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                for part, _ in merger.parts(text.as_py() or ""):
-                    counts.update(part.split(" "))
-                if len(counts) > REMEMBERED:
+            for at in range(0, batch.num_rows, 8192):
+                pieces = pc.split_pattern(batch.column(0).slice(at, 8192).drop_null(), " ").flatten()
+                counts = pieces.value_counts()
+                cut = merger.words.findall
+                for piece, n in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True):
+                    for w in cut(" " + piece):
+                        words[w] = words.get(w, 0) + n
+                if len(words) > REMEMBERED:
                     yield from rows()
-                    counts.clear()
+                    words.clear()
         yield from rows()
 
     return docs.select(text_column).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -369,7 +424,6 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, id_column: str
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     rest = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(rest).fields])
-    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary, lexicon)
@@ -377,16 +431,13 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, id_column: str
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                a, b, d = [], [], []
+                rows = []
                 for text in part.column(1):
-                    ids, said = c.encode(text.as_py() or "")
-                    back = c.merger.decode(ids)
-                    a.append(len(ids) if digests else ids)
-                    b.append(sha(",".join(said)) if digests else back)
-                    if digests:
-                        d.append(sha(back))
-                columns = [pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(d, pa.string())] if digests else [pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema.names)
+                    ids = c.encode(text.as_py() or "")
+                    back = c.merger.decode(ids.tolist())
+                    rows.append((len(ids), hashlib.sha256(c.said(ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest()) if digests else (ids.astype(np.int32), back))
+                kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], schema.names)
         gc.enable()
 
     return docs.mapInArrow(run, schema)
