@@ -42,8 +42,9 @@ from .common import materialise, table
 
 #: Words in the lexicon, at most.
 LEXICON_WORDS = 65_536
-#: Pieces of text, and words, that a worker remembers, at most each: about 0.2 kB a piece.
-REMEMBERED = 700_000
+#: Pieces of text that a worker remembers, at most, and words: about 0.2 kB each.
+REMEMBERED = 600_000
+REMEMBERED_WORDS = 300_000
 
 #: Fixed: the pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -296,11 +297,14 @@ class Coder:
             data = word.encode("utf-8", "surrogatepass")
             ids = self.lexicon.get(data) if self.lexicon else None
             found = array(self.width, ids if ids is not None else self.merger.tokens(data) if self.merger.sound else self.merger.merge(data)).tobytes()
-            if len(self.words) < REMEMBERED:
+            if len(self.words) < REMEMBERED_WORDS:
                 self.words[word] = found
         return found
 
     def codes(self, chunk: str) -> bytes:
+        """Of a text that is cut safely. Letters alone, with the blank before them, are one word."""
+        if chunk[1:].isalpha() and chunk[0] == " ":
+            return self.word(chunk)
         return b"".join(map(self.word, self.merger.words.findall(chunk)))
 
     def segment(self, text: str) -> bytes:
@@ -321,7 +325,7 @@ class Coder:
             except ValueError:
                 return b"".join(packed)
             piece = pieces[at]
-            if at and tight(piece):
+            if at and (piece.isalpha() or tight(piece)):
                 packed[at] = found = self.codes(" " + piece)
                 if len(self.known) < REMEMBERED:
                     self.known[piece] = found
@@ -384,6 +388,10 @@ def word_counts(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
                 counts = pieces.value_counts()
                 cut = merger.words.findall
                 for piece, n in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True):
+                    if piece.isalpha():
+                        w = " " + piece
+                        words[w] = words.get(w, 0) + n
+                        continue
                     for w in cut(" " + piece):
                         words[w] = words.get(w, 0) + n
                 if len(words) > REMEMBERED:
