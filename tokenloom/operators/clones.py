@@ -48,7 +48,7 @@ def signatures(sets: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
 
 def band_shape(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:
     """Bands and rows that make the false positives and negatives around the threshold least, in area."""
-    best, grid = None, np.linspace(0, 1, 1001)
+    best, grid = None, (np.arange(1000) + 0.5) / 1000
     for b in range(1, permutations + 1):
         for r in range(1, permutations // b + 1):
             chance = 1 - (1 - grid**r) ** b

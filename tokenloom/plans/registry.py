@@ -42,4 +42,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import clones, frequency, information, kernels, relational, similarity, structure  # noqa: F401
+    from . import clones, extras, frequency, information, kernels, relational, similarity, structure  # noqa: F401

@@ -26,7 +26,7 @@ def _motif_query(k: int):
         return op.motifs(document_functions(spark, d), k).withColumn("function_coverage", r6(F.col("function_coverage")))
 
 
-for _k in (4, 5, 6, 8, 10, 12):
+for _k in range(4, 13):
     _motif_query(_k)
 
 POSITIONAL = """WITH {TOK}, s AS (SELECT func, i, opcode, count(*) OVER (PARTITION BY func) AS n FROM tok), p AS (SELECT 'start' AS side, i AS pos, opcode FROM s WHERE n >= 40 AND i < 20 UNION ALL SELECT 'end', n - 1 - i, opcode FROM s WHERE n >= 40 AND n - 1 - i < 20),
