@@ -42,9 +42,11 @@ from .common import materialise, table
 
 #: Words in the lexicon, at most.
 LEXICON_WORDS = 65_536
-#: Pieces of text that a worker remembers, at most, and words: about 0.2 kB each.
-REMEMBERED = 600_000
-REMEMBERED_WORDS = 300_000
+#: Pieces between blanks that a worker remembers, at most, and words that are no such pieces: about 0.2 kB each.
+REMEMBERED = 1_000_000
+REMEMBERED_WORDS = 100_000
+#: Words that a task counts before it hands them on.
+COUNTED = 600_000
 
 #: Fixed: the pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -292,13 +294,16 @@ class Coder:
         self.decimal = np.array([f"{i}," for i in range(len(merger.token_bytes))], f"S{digits + 1}")
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        """A word with a blank at its front is the piece behind the blank; white space is no piece, as no safe cut follows it."""
+        piece = word[0] == " " and not word[-1].isspace()
+        key, table = (word[1:], self.known) if piece else (word, self.words)
+        found = table.get(key)
         if found is None:
             data = word.encode("utf-8", "surrogatepass")
             ids = self.lexicon.get(data) if self.lexicon else None
             found = array(self.width, ids if ids is not None else self.merger.tokens(data) if self.merger.sound else self.merger.merge(data)).tobytes()
-            if len(self.words) < REMEMBERED_WORDS:
-                self.words[word] = found
+            if len(table) < (REMEMBERED if piece else REMEMBERED_WORDS):
+                table[key] = found
         return found
 
     def codes(self, chunk: str) -> bytes:
@@ -394,7 +399,7 @@ def word_counts(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
                         continue
                     for w in cut(" " + piece):
                         words[w] = words.get(w, 0) + n
-                if len(words) > REMEMBERED:
+                if len(words) > COUNTED:
                     yield from rows()
                     words.clear()
         yield from rows()
