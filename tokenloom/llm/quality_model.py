@@ -118,7 +118,7 @@ def fit_accuracies(patterns: dict[str, int], steps: int = EM_STEPS) -> tuple[flo
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Logistic regression on word buckets, shape buckets and measures; full-batch steps of Adam, soft labels."""
+    """Logistic regression on word buckets, shape buckets and measures; full-batch steps of Adam, soft labels. The constant is the classes' share, so a text that tells nothing gets that."""
     size = np.array([len(r[0]) for r in rows])
     owner = np.repeat(np.arange(len(rows)), size)
     codes = np.concatenate([r[0] for r in rows]) if len(owner) else np.zeros(0, np.int64)
@@ -126,13 +126,15 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ep
     share = 1 / (size + PRIOR_WORDS)[owner]
     dense = np.stack([r[1] for r in rows])
     theta = np.zeros(2 * BUCKETS + dense.shape[1] + 1)
+    mean = min(max(float(target.mean()), 1e-3), 1 - 1e-3)
+    theta[-1] = np.log(mean / (1 - mean))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, epochs + 1):
         a, b, c, d = theta[:BUCKETS], theta[BUCKETS : 2 * BUCKETS], theta[2 * BUCKETS : -1], theta[-1]
         z = np.bincount(owner, weights=(a[words] + b[shapes]) * share, minlength=len(rows)) + dense @ c + d
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
         x = e[owner] * share
-        gradient = np.concatenate([np.bincount(words, weights=x, minlength=BUCKETS), np.bincount(shapes, weights=x, minlength=BUCKETS), e @ dense, [e.sum()]])
+        gradient = np.concatenate([np.bincount(words, weights=x, minlength=BUCKETS), np.bincount(shapes, weights=x, minlength=BUCKETS), e @ dense, [0.0]])
         gradient[:-1] += 1e-5 * theta[:-1]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
