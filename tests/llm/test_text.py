@@ -127,6 +127,17 @@ def test_pii_query(spark, folder):
                 assert r.spans == ""
 
 
+def test_a_far_word_of_a_rare_entity_is_a_term(spark, folder):
+    names = "amber basil cedar delta ember fjord grove heath islet jetty knoll ledge".split()
+    rng = random.Random(5)
+    filler = " ".join(rng.choice(names) for _ in range(60))
+    rows = [(1, f"quixby {filler} mail jo@mail.example.org {filler} zorbane")]
+    rows += [(100 + i, f"{i} " + " ".join(rng.choice(names) for _ in range(60)) + " mail") for i in range(60)]
+    (spans,) = [r.spans for r in pii.op5(spark, folder(rows)).collect() if r.doc_id == 1]
+    terms = {rows[0][1][int(a) : int(b)] for k, a, b in (x.split(":") for x in spans.split(",")) if k == "term"}
+    assert terms == {"quixby", "zorbane"}
+
+
 def test_sanitise(spark, table_of):
     out = pii.sanitise(table_of([(1, "mail a.b@c.de now"), (2, None)])).collect()
     assert {r.doc_id: r.text for r in out} == {1: "mail [EMAIL] now", 2: ""}

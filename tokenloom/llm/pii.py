@@ -1,18 +1,18 @@
 """Personal data by patterns and by what the corpus gives away.
 
 1. Patterns find the base spans: email, ip, card, phone.
-2. Each base match is a protected entity. The words within CONTEXT words of it are
-   its contexts. Over all texts, p(entity | word) is the share of a word's
-   documents in which it stands beside the entity, and its disclosure is
-   PMI(entity; word) / IC(entity): 1 when the word gives the entity away.
-3. A word that stands beside an entity in MIN_CONTEXTS different contexts and
-   discloses it to DISCLOSURE or more is a span of kind ``term`` wherever it stands
-   beside that entity. sanitise() takes out base matches and such words, or puts a
-   general form in place of those that other documents use as well.
-
-Copies of one context count once, so copied documents disclose nothing by their
-number. Word counts are only taken of words that pass MIN_CONTEXTS; Spark
-broadcasts those while they are small and shuffles otherwise.
+2. Each base match is a protected entity; every word of a text that holds it, outside
+   base spans, is scored. p(entity | word) is the share of the texts with the word
+   that hold the entity, smoothed by SMOOTHING texts that hold it as often as any
+   text does. Its disclosure is PMI(entity; word) / IC(entity): near 1 when the word
+   gives the entity away, lower where a few texts are all there is to go by.
+3. A word that discloses an entity to DISCLOSURE or more is a span of kind ``term``
+   wherever it stands in a text with that entity. sanitise() takes out base matches
+   and such words, or puts a general form in place of those that other texts use as
+   well.
+
+Corpus counts are taken of the words that their counts beside entities do not rule
+out alone; a bitmap of BITS bits tells the scan which those are.
 
 Defined results: a null or empty text has no spans (and the digest of nothing);
 a null id passes through; repeated rows are done one by one; an empty table gives
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import id_of, key_of, materialise, table
 
-CONTEXT = 8
-MIN_CONTEXTS = 3
 DISCLOSURE = 0.8
+SMOOTHING = 1.0
+BITS = 1 << 24
 KINDS = ("email", "ip", "card", "phone")
 
 # Each finds what its plain form finds from left to right, without trying a run of characters again from its middle.
@@ -86,45 +87,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], width: int = CONTEXT) -> Iterator[tuple[int, str, int, int, int]]:
-    """(entity, word, context, start, end) for the words around each span, none of them part of a span."""
-    bounds = [(a, b) for _, a, b in spans]
+def words_beside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of the words outside the spans, which are in order of their starts."""
+    at, taken = 0, 0
+    for m in WORD.finditer(text):
+        while at < len(spans) and spans[at][1] < m.end():
+            taken = max(taken, spans[at][2])
+            at += 1
+        if m.start() >= taken:
+            yield m[0].lower(), m.start(), m.end()
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in bounds)
 
-    for kind, start, end in spans:
-        # words are at most a few dozen characters: look at a stretch that surely holds enough of them, wider if it does not
-        reach = 40 * width
-        while True:
-            low, high = max(0, start - reach), min(len(text), end + reach)
-            left = [m for m in WORD.finditer(text, low, start)]
-            right = [m for m in WORD.finditer(text, end, high)]
-            if (low == 0 or len(left) > width) and (high == len(text) or len(right) > width):
-                break
-            reach *= 4
-        near = [m for m in left[-width:] + right[:width] if free(m.start(), m.end())]
-        words = [m[0].lower() for m in near]
-        entity = xxhash.xxh3_64_intdigest(f"{kind}:{re.sub(r'[^0-9a-z@.]', '', text[start:end].lower())}") - 2**63
-        context = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - 2**63
-        for m, word in zip(near, words, strict=True):
-            yield entity, word, context, m.start(), m.end()
+def entity_of(kind: str, said: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{kind}:{re.sub(r'[^0-9a-z@.]', '', said.lower())}") - 2**63
+
+
+def text_id(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
 def _said(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-BASE_SCHEMA = (
-    "row long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, "
-    "near array<struct<entity:long,word:string,context:long,start:int,end:int>>"
-)
+BASE_SCHEMA = "row long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, text_id long, text string"
 
 
 def find_base(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each document: base spans, and the words beside them. Not yet stable in row: materialise it before a second use."""
-    kind = pa.list_(pa.struct([("entity", pa.int64()), ("word", pa.string()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-    names = ["row", "key", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "near"]
+    """A row for each document: base spans, and its text if it has any. Not yet stable in row: materialise it before a second use."""
+    names = [x.split()[0] for x in BASE_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -138,46 +129,91 @@ def find_base(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                     text = text.as_py() or ""
                     spans = base_spans(text)
                     said = _said(spans)
-                    near = [dict(zip(("entity", "word", "context", "start", "end"), x, strict=True)) for x in contexts(text, spans)] if spans else None
                     count = [sum(s[0] == k for s in spans) for k in KINDS]
-                    for column, value in zip(out, (row, None, *count, said, hashlib.sha256(said.encode()).hexdigest(), near), strict=True):
+                    for column, value in zip(out, (row, None, *count, said, hashlib.sha256(said.encode()).hexdigest(), text_id(text), text if spans else None), strict=True):
                         column.append(value)
                     row += 1
-                longs = [pa.array(c, pa.int64()) for c in (out[0], *out[2:6])]
-                columns = [longs[0], part.column(0), *longs[1:], pa.array(out[6], pa.string()), pa.array(out[7], pa.string()), pa.array(out[8], kind)]
+                longs = [pa.array(c, pa.int64()) for c in (out[0], *out[2:6], out[8])]
+                columns = [longs[0], part.column(0), *longs[1:5], pa.array(out[6], pa.string()), pa.array(out[7], pa.string()), longs[5], pa.array(out[9], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(key_of(id_column).alias("key"), text_column).mapInArrow(run, BASE_SCHEMA)
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, text_column: str = "text", min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """entity, word, general: the words that give an entity away; general if enough documents use the word without it."""
-    seen = near.select("entity", "word", "context").distinct()
-    together = seen.groupBy("entity", "word").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_contexts)
-    entities = near.groupBy("entity").agg(F.countDistinct("context").alias("n_entity"))
-    # Documents that hold a word beside any entity are documents that hold it: words that this alone rules out are not counted in the corpus.
-    beside = near.groupBy("word").agg(F.countDistinct("row").alias("n_beside"))
+def words_with(texts: DataFrame, name: str) -> DataFrame:
+    """name, entity, word of all entities and words of the texts, given with their base spans; each once in a row. Word is null once for each entity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, base, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                spans = all_spans(base, None)
+                words = pa.array([None, *{w for w, _, _ in words_beside(text, spans)}], pa.string())
+                for e in {entity_of(k, text[a:b]) for k, a, b in spans}:
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(words), pa.int64()), pa.array([e] * len(words), pa.int64()), words], [name, "entity", "word"])
+
+    return texts.select(name, "base", "text").mapInArrow(run, f"{name} long, entity long, word string")
+
+
+def corpus_counts(docs: DataFrame, words: DataFrame, text_column: str) -> DataFrame:
+    """word, n_word: the number of documents that hold the word, of the given words."""
+    at = F.crc32(F.col("word").cast("binary")) % BITS
+    parts = words.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("k")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
+    bits = {r.k: bytes(r.bits) for r in parts}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                held = []
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    for w in {x.lower() for x in set(WORD.findall(text or ""))}:
+                        h = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BITS
+                        part = bits.get(h >> 15)
+                        if part and part[(h & 32767) >> 3] >> (h & 7) & 1:
+                            held.append(w)
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["word"])
+
+    return docs.select(text_column).mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n_word")).join(words, "word")
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, text_column: str = "text", disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
+    """entity, word, general: the words that give an entity away; general if enough texts use the word without it."""
+    texts = base.where("text is not null").groupBy("text_id").agg(F.first("base").alias("base"), F.first("text").alias("text"))
+    with_entity = materialise(words_with(texts, "text_id").groupBy("entity", "word").agg(F.count("*").alias("n_both")), "pii-with")
+    entities = with_entity.where("word is null").select("entity", F.col("n_both").alias("n_entity"))
+    # Texts that hold a word and an entity are texts that hold the word, whatever the entity: the most beside one entity are a lower bound.
+    beside = with_entity.where("word is not null").groupBy("word").agg(F.max("n_both").alias("n_beside"))
     total = F.lit(float(max(1, docs.count())))
-    information = F.log2(total / F.col("n_entity"))
-    told = lambda pmi: F.when(information > 0, F.least(pmi / information, F.lit(1.0))).otherwise(F.lit(0.0))
-    pmi = lambda n: F.log2(F.col("n_both") * total / (F.col("n_entity") * n))
-    together = together.join(entities, "entity").join(beside, "word")
-    together = materialise(together.where(told(pmi(F.greatest("n_beside", "n_both"))) >= disclosure), "pii-together")
+    share = F.col("n_entity") / total
+    told = lambda n: F.when(share < 1, F.log2((F.col("n_both") + smoothing * share) / (n + smoothing) / share) / -F.log2(share)).otherwise(F.lit(0.0))
+    together = with_entity.join(entities, "entity").join(beside, "word")
+    together = materialise(together.where(told(F.col("n_beside")) >= disclosure), "pii-together")
     words = together.select("word").distinct()
-    said = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_column), F.lit(""))), r"[^\p{L}]+"))).alias("word"))
-    in_corpus = said.join(words, "word").groupBy("word").agg(F.count("*").alias("n_word"))
+    counts = corpus_counts(docs, words, text_column)
     n_word = F.greatest(F.coalesce("n_word", F.lit(0)), "n_both").cast("double")
-    scored = together.join(in_corpus, "word", "left").withColumn("n_word", n_word).withColumn("disclosure", told(pmi(F.col("n_word"))))
+    scored = together.join(counts, "word", "left").withColumn("n_word", n_word).withColumn("disclosure", told(F.col("n_word")))
     return scored.where(F.col("disclosure") >= disclosure).select("entity", "word", "disclosure", (F.col("n_word") > 2 * F.col("n_both")).alias("general"))
 
 
 def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """A row for each document: key, the counts and digest of the base spans, and spans: an array of (kind, start, end), terms included."""
+    """A row for each document: key, the counts and digest of the base spans, and terms: an array of (start, end, general)."""
     base = materialise(find_base(docs, id_column, text_column), "pii-base")
-    near = base.where("near is not null").select("row", F.inline("near"))
-    terms = materialise(disclosing_terms(docs, near, text_column, **options), "pii-terms")
-    added = near.join(terms, ["entity", "word"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "general"))).alias("terms"))
-    return base.drop("near").join(added, "row", "left")
+    terms = materialise(disclosing_terms(docs, base, text_column, **options), "pii-terms")
+    texts = base.where("text is not null").select("row", "base", "text")
+    # general only if the word is so for every entity of the text that it discloses
+    told = words_with(texts, "row").join(terms.select("entity", "word", "general"), ["entity", "word"]).groupBy("row", "word").agg(F.min("general").alias("general"))
+    told = told.groupBy("row").agg(F.collect_list(F.struct("word", "general")).alias("told"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("general", pa.bool_())]))
+        for batch in batches:
+            out = []
+            for base, text, told in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                general = {t["word"]: t["general"] for t in told}
+                out.append([{"start": a, "end": b, "general": general[w]} for w, a, b in words_beside(text, all_spans(base, None)) if w in general])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["row", "terms"])
+
+    added = texts.join(told, "row").select("row", "base", "text", "told").mapInArrow(run, "row long, terms array<struct<start:int,end:int,general:boolean>>")
+    return base.drop("text", "text_id").join(added, "row", "left")
 
 
 def all_spans(base: str | None, terms) -> list[tuple[str, int, int]]:
