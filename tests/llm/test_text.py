@@ -138,6 +138,15 @@ def test_a_far_word_of_a_rare_entity_is_a_term(spark, folder):
     assert terms == {"quixby", "zorbane"}
 
 
+def test_copies_change_no_term(spark, table_of):
+    rng = random.Random(7)
+    names = "amber basil cedar delta ember fjord grove heath islet jetty knoll ledge".split()
+    base = [(i, f"{' '.join(rng.choice(names) for _ in range(20))} quixby {'mail jo@mail.example.org' if i < 3 else 'x' * i}".replace("quixby", "quixby" if i < 3 else "")) for i in range(80)]
+    copies = [(1000 + 3 * k + i, base[i][1]) for k in range(40) for i in range(3)]
+    terms = [{(r.key, t.start, t.end, t.general) for r in pii.find_spans(table_of(rows)).collect() if r.key < 1000 for t in r.terms or ()} for rows in (base, base + copies)]
+    assert terms[0] == terms[1] and len(terms[0]) >= 3
+
+
 def test_sanitise(spark, table_of):
     out = pii.sanitise(table_of([(1, "mail a.b@c.de now"), (2, None)])).collect()
     assert {r.doc_id: r.text for r in out} == {1: "mail [EMAIL] now", 2: ""}

@@ -11,8 +11,9 @@
    and such words, or puts a general form in place of those that other texts use as
    well.
 
-Corpus counts are taken of the words that their counts beside entities do not rule
-out alone; a bitmap of BITS bits tells the scan which those are.
+All counts are of distinct texts, so copies of a document change nothing. Those of
+the corpus are taken of the words that their counts beside entities do not rule out
+alone; a bitmap of BITS bits tells the scan which those are.
 
 Defined results: a null or empty text has no spans (and the digest of nothing);
 a null id passes through; repeated rows are done one by one; an empty table gives
@@ -141,21 +142,21 @@ def find_base(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def words_with(texts: DataFrame, name: str) -> DataFrame:
-    """name, entity, word of all entities and words of the texts, given with their base spans; each once in a row. Word is null once for each entity."""
+    """name, entity, word of all entities and words of the texts, given with their base spans; each once in a row. Word is null once for each entity, entity once for each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, base, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 spans = all_spans(base, None)
                 words = pa.array([None, *{w for w, _, _ in words_beside(text, spans)}], pa.string())
-                for e in {entity_of(k, text[a:b]) for k, a, b in spans}:
+                for e in [None, *{entity_of(k, text[a:b]) for k, a, b in spans}]:
                     yield pa.RecordBatch.from_arrays([pa.array([i] * len(words), pa.int64()), pa.array([e] * len(words), pa.int64()), words], [name, "entity", "word"])
 
     return texts.select(name, "base", "text").mapInArrow(run, f"{name} long, entity long, word string")
 
 
 def corpus_counts(docs: DataFrame, words: DataFrame, text_column: str) -> DataFrame:
-    """word, n_word: the number of documents that hold the word, of the given words."""
+    """word, n_word: the number of distinct texts that hold the word, of the given words."""
     at = F.crc32(F.col("word").cast("binary")) % BITS
     parts = words.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("k")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
     bits = {r.k: bytes(r.bits) for r in parts}
@@ -163,29 +164,32 @@ def corpus_counts(docs: DataFrame, words: DataFrame, text_column: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                held = []
+                held, ids = [], []
                 for text in batch.column(0).slice(at, 256).to_pylist():
+                    number = text_id(text or "")
                     for w in {x.lower() for x in set(WORD.findall(text or ""))}:
                         h = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BITS
                         part = bits.get(h >> 15)
                         if part and part[(h & 32767) >> 3] >> (h & 7) & 1:
                             held.append(w)
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["word"])
+                            ids.append(number)
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(ids, pa.int64())], ["word", "text_id"])
 
-    return docs.select(text_column).mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n_word")).join(words, "word")
+    held = docs.select(text_column).mapInArrow(run, "word string, text_id long").distinct()
+    return held.groupBy("word").agg(F.count("*").alias("n_word")).join(words, "word")
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, text_column: str = "text", disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
     """entity, word, general: the words that give an entity away; general if enough texts use the word without it."""
     texts = base.where("text is not null").groupBy("text_id").agg(F.first("base").alias("base"), F.first("text").alias("text"))
     with_entity = materialise(words_with(texts, "text_id").groupBy("entity", "word").agg(F.count("*").alias("n_both")), "pii-with")
-    entities = with_entity.where("word is null").select("entity", F.col("n_both").alias("n_entity"))
-    # Texts that hold a word and an entity are texts that hold the word, whatever the entity: the most beside one entity are a lower bound.
-    beside = with_entity.where("word is not null").groupBy("word").agg(F.max("n_both").alias("n_beside"))
-    total = F.lit(float(max(1, docs.count())))
+    entities = with_entity.where("entity is not null and word is null").select("entity", F.col("n_both").alias("n_entity"))
+    # Texts that hold a word and any entity are texts that hold it: words that this alone rules out are not counted in the corpus.
+    beside = with_entity.where("entity is null and word is not null").select("word", F.col("n_both").alias("n_beside"))
+    total = F.lit(float(max(1, base.select("text_id").distinct().count())))
     share = F.col("n_entity") / total
     told = lambda n: F.when(share < 1, F.log2((F.col("n_both") + smoothing * share) / (n + smoothing) / share) / -F.log2(share)).otherwise(F.lit(0.0))
-    together = with_entity.join(entities, "entity").join(beside, "word")
+    together = with_entity.where("word is not null").join(entities, "entity").join(beside, "word")
     together = materialise(together.where(told(F.col("n_beside")) >= disclosure), "pii-together")
     words = together.select("word").distinct()
     counts = corpus_counts(docs, words, text_column)
@@ -200,7 +204,7 @@ def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     terms = materialise(disclosing_terms(docs, base, text_column, **options), "pii-terms")
     texts = base.where("text is not null").select("row", "base", "text")
     # general only if the word is so for every entity of the text that it discloses
-    told = words_with(texts, "row").join(terms.select("entity", "word", "general"), ["entity", "word"]).groupBy("row", "word").agg(F.min("general").alias("general"))
+    told = words_with(texts, "row").where("entity is not null and word is not null").join(terms.select("entity", "word", "general"), ["entity", "word"]).groupBy("row", "word").agg(F.min("general").alias("general"))
     told = told.groupBy("row").agg(F.collect_list(F.struct("word", "general")).alias("told"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
