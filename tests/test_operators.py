@@ -116,6 +116,35 @@ def test_compression_and_ncd(some):
         assert math.isclose(r.distance, min(1, max(0, (xy - min(x, y)) / max(x, y))))
 
 
+def test_compression_and_samples_read_whole_binaries(spark):
+    rng = random.Random(8)
+    rows = [(b, b, f, [str(rng.randrange(wide)) for _ in range(3000)]) for b, wide in (("x", 200), ("y", 400)) for f in range(41)]
+    df, seqs = spark.createDataFrame(rows, SCHEMA).repartition(5), whole(rows)
+    words = corpus.vocabulary(corpus.token_rows(df))
+    ids = {r.opcode: r.id for r in words.collect()}
+    data = {b: kernels.pack_ids(np.array([ids[x] for x in s])) for b, s in seqs.items()}
+    found = {r.binary: r for r in kernels.compression(kernels.chunks(df, words)).collect()}
+    mixed = {r.binary: r for r in kernels.compression(kernels.chunks(df, words), 42).collect()}
+    for b, s in seqs.items():
+        r = found[b]
+        assert (r.instruction_count, r.original_size, r.zlib_compressed_size, r.lzma_compressed_size) == (123_000, len(data[b]), len(zlib.compress(data[b])), len(lzma.compress(data[b])))
+        assert r.lz_complexity == int(kernels.lz78(s[:100_000]) * 1.23)
+        assert (mixed[b].instruction_count, mixed[b].original_size) == (123_000, len(data[b]))
+    assert {r.binary: r.ids for r in kernels.sampled(df, words).collect()} == {b: [ids[x] for x in s[::2][:50_000]] for b, s in seqs.items()}
+
+
+def test_queries_read_whole_binaries(spark, tmp_path):
+    from tokenloom.plans import kernels as plans
+
+    rows = [(i, " ".join("w%d" % (k * k % 977) for k in range(7000 + i)), "en", "s") for i in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    n = 28_006
+    for query in (plans.d13, plans.d16, plans.d17):
+        assert [r.instruction_count for r in query(spark, str(tmp_path)).collect()] == [n]
+    (r,) = plans._sampled(spark, str(tmp_path)).collect()
+    assert len(r.ids) == n
+
+
 def test_alignment_is_smith_waterman():
     rng = random.Random(3)
     for _ in range(100):
