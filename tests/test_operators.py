@@ -214,6 +214,24 @@ def test_zipf_fits():
     assert low <= 1.31 and high >= 1.29 and frequency.ols_bootstrap(rank[:3], count[:3]) == (0.0, 0.0)
 
 
+def test_bootstraps_read_all_ranks(spark, tmp_path):
+    from tokenloom.plans import extras
+    from tokenloom.plans import frequency as plans
+
+    n = 60_000
+    rows = [(i, " ".join("w%d" % k for k in range(i * 600, (i + 1) * 600)) + " w0 w1 w2 w0" * 3, "en", "s") for i in range(n // 600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    (r,) = extras.e02(spark, str(tmp_path)).collect()
+    assert r.points == n and r.ci_low <= r.ci_high
+    (r,) = plans.e03(spark, str(tmp_path)).collect()
+    low, high = frequency.zipf_bootstrap(n, r.total, r.alpha, rounds=60)
+    assert r.vocabulary == n and abs(r.ci_low - low) < 0.003 and abs(r.ci_high - high) < 0.003
+    rank = np.arange(1, 3001, dtype=float)
+    count = np.round(1e6 * rank**-1.3 * np.exp(np.random.default_rng(1).normal(0, 0.3, 3000)) + 1)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(rank, count, strict=True)], "rank long, count long")
+    assert np.allclose(frequency.ols_bootstrap_rounds(df)[:2], frequency.ols_bootstrap(rank, count), atol=0.01)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8))

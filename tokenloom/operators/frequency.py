@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entropy, ngrams
@@ -95,6 +96,53 @@ def ols_bootstrap(rank: np.ndarray, count: np.ndarray, rounds: int = 200, seed:
     return tuple(np.percentile(fits, [2.5, 97.5]))
 
 
+def zipf_bootstrap_rounds(spark: SparkSession, vocabulary: int, total: int, alpha: float, rounds: int = 200, seed: int = 42) -> tuple[float, float]:
+    """zipf_bootstrap with its rounds dealt out to tasks, each round with a seed of its own. A task holds the vocabulary's ranks."""
+
+    def run(batches):
+        rank = np.arange(1, vocabulary + 1, dtype=float)
+        p, logs = rank**-alpha, np.log(rank)
+        p /= p.sum()
+        for batch in batches:
+            fits = []
+            for i in batch.column(0).to_pylist():
+                counts = np.sort(np.random.default_rng([seed, i]).multinomial(total, p))[::-1]
+                counts = counts[counts > 0]
+                fits.append(zipf_mle(len(counts), float(total), float(counts @ logs[: len(counts)]), steps=40))
+            yield pa.RecordBatch.from_arrays([pa.array(fits, pa.float64())], ["fit"])
+
+    fits = [r.fit for r in spark.range(0, rounds, 1, min(rounds, 50)).mapInArrow(run, "fit double").collect()]
+    return tuple(np.percentile(fits, [2.5, 97.5]))
+
+
+def ols_bootstrap_rounds(ranks: DataFrame, rounds: int = 200, seed: int = 42) -> tuple[float, float, int]:
+    """As ols_bootstrap over all rows of (rank, count), and their number: each row is drawn a Poisson number of times, and only sums of each round leave a task."""
+    names = ["round", "w", "x", "y", "xx", "xy", "n"]
+
+    def run(batches):
+        sums, n = np.zeros((5, rounds)), 0
+        for batch in batches:
+            ranks, counts = (np.array(batch.column(i).to_pylist(), float) for i in (0, 1))
+            block = ranks.astype(np.int64) // 4096
+            for k in np.unique(block).tolist():
+                r, c = ranks[block == k], counts[block == k]
+                x, y = np.log(r), np.log(c)
+                # seeded by block and taken by rank, so partitions and batches change nothing
+                w = np.random.default_rng([seed, k]).poisson(1.0, (rounds, 4096))[:, r.astype(np.int64) % 4096]
+                sums += np.array([w.sum(axis=1), w @ x, w @ y, w @ (x * x), w @ (x * y)])
+                n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), *(pa.array(v) for v in sums), pa.array(np.full(rounds, n))], names)
+
+    rows = ranks.select("rank", "count").mapInArrow(run, "round long, w double, x double, y double, xx double, xy double, n long")
+    rows = rows.groupBy("round").agg(*(F.sum(c).alias(c) for c in names[1:])).orderBy("round").collect()
+    if not rows or rows[0].n < 5:
+        return 0.0, 0.0, rows[0].n if rows else 0
+    w, x, y, xx, xy = (np.array([r[c] for r in rows]) for c in names[1:6])
+    spread = w * xx - x * x
+    fits = (-(w * xy - x * y) / np.where(spread > 0, spread, 1))[spread > 1e-9 * w * xx]
+    return (*np.percentile(fits, [2.5, 97.5]), rows[0].n) if len(fits) else (0.0, 0.0, rows[0].n)
+
+
 def ngram_counts(functions: DataFrame, sizes: range | list[int], by: tuple[str, ...] = ("binary",)) -> DataFrame:
     """[by], n, ngram, count over the binaries' whole sequences: n-grams run on across functions. All n in one pass."""
     most = max(sizes)

@@ -69,13 +69,13 @@ def e04(spark, d, alpha: float = 1.2):
 
 @query("e03_zipf_mle")
 def e03(spark, d):
-    """MLE exponent with both bootstrap intervals, from the ranked counts of the vocabulary (aggregated, on the driver)."""
+    """MLE exponent with its bootstrap interval: draws of all occurrences over all ranks, in rounds dealt out to tasks."""
     ranks = op.rank_all(op.opcode_frequency(document_functions(spark, d)))
     n, total, weighted = ranks.agg(F.count("*"), F.sum("count"), F.sum(F.col("count") * F.log("rank"))).first()
     if not n:
         return spark.createDataFrame([], "alpha double, ci_low double, ci_high double, vocabulary long, total long")
     alpha = op.zipf_mle(n, float(total), weighted)
-    low, high = op.zipf_bootstrap(min(n, 20_000), min(total, 10**7), alpha, rounds=20)
+    low, high = op.zipf_bootstrap_rounds(spark, n, int(total), alpha)
     return spark.createDataFrame([(float(alpha), float(low), float(high), n, int(total))], "alpha double, ci_low double, ci_high double, vocabulary long, total long")
 
 
