@@ -7,17 +7,20 @@
    come before it, so that a walk along a word sums up to the word's number,
    which leads to its ids: outputs that need no place in the states.
 3. The automaton is one file that each executor gets a copy of and its Python
-   workers memory-map: its pages are shared and read on demand.
-4. Words that it does not hold are merged exactly, by rank.
+   workers memory-map: its pages are shared and read on demand. So is the
+   vocabulary, with its merges. A worker keeps nothing else from batch to batch.
+4. Texts are taken in batches of BATCH_BYTES. The distinct words of a batch walk
+   through the automaton side by side, a byte of each at a time; those that it does
+   not hold are merged exactly, by rank, side by side as well.
 
 Defined results: null and empty texts have no tokens; null ids pass through;
-repeated rows are encoded one by one; an empty table gives an empty table. The
-text of an added special token in a text is that token, as in the library.
+repeated rows are encoded one by one; an empty table gives an empty table; a text
+longer than a batch is a batch of its own. The text of an added special token in a
+text is that token, as in the library.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
@@ -26,7 +29,7 @@ import os
 import struct
 import tempfile
 import uuid
-from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,22 +45,18 @@ from .common import materialise, table
 
 #: Words in the lexicon, at most.
 LEXICON_WORDS = 65_536
-#: Pieces between blanks that a worker remembers, at most, and words that are no such pieces: about 0.2 kB each.
-REMEMBERED = 1_000_000
-REMEMBERED_WORDS = 100_000
-#: Words that a task counts before it hands them on.
+#: Text that a worker takes at a time.
+BATCH_BYTES = 4 << 20
+#: Counted words that a task holds before it hands them on.
 COUNTED = 600_000
+#: Words of more bytes than this are merged one by one, with a heap.
+LONG_WORD = 64
 
 #: Fixed: the pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-
-NEVER, LOW = 1 << 62, (1 << 32) - 1
-
-
-def tight(piece: str) -> bool:
-    """Whether a text may be cut at the blank after this piece: it does not end in white space."""
-    return bool(piece) and not piece[-1].isspace()
+NEVER = (1 << 64) - 1
+LOW = (1 << 32) - 1
 
 
 def byte_letters() -> list[str]:
@@ -67,56 +66,113 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    """Where each of some rows begins that lie one after another, and where the last one ends."""
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def _spread(begins: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The places of all entries of some rows, in the order of the rows."""
+    sizes = begins[rows + 1] - begins[rows]
+    ends = np.cumsum(sizes)
+    return np.repeat(begins[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(words), np.uint8), _begins(np.array([len(w) for w in words], np.int64))
+
+
+def _strings(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, and where each begins."""
+    _, offsets, data = words.buffers()
+    begins = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), begins
+
+
+def _mapped(path: str) -> mmap.mmap:
+    with open(path, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def _file_of(arrays: list[np.ndarray]) -> bytes:
+    """Their number and sizes, then each, at a multiple of eight bytes."""
+    head = struct.pack(f"<{len(arrays) + 1}Q", len(arrays), *(a.nbytes for a in arrays))
+    return head + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
+
+
+def _arrays_of(data, kinds: list[str]) -> list[np.ndarray]:
+    (n,) = struct.unpack_from("<Q", data)
+    at, out = 8 * (n + 1), []
+    for size, kind in zip(struct.unpack_from(f"<{n}Q", data, 8), kinds, strict=True):
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
+        at += size + -size % 8
+    return out
+
+
 class Merger:
-    """Exact BPE by merge rank, and decoding, from a vocabulary file."""
+    """Exact BPE by merge rank, and decoding: arrays of a vocabulary file, or of a mapped copy of them."""
+
+    KINDS = ["<u8", "<u8", "<u4", "<i8", "u1", "u1"]
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
+        special = {t["content"]: t["id"] for t in data["added_tokens"]}
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab = data["model"]["vocab"]
-        self.byte_ids = [vocab[c] for c in letters]
-        #: left << 32 | right: rank << 32 | merged
-        self.pairs: dict[int, int] = {}
+        pairs: dict[int, int] = {}  # left << 32 | right: rank << 32 | merged
         for rank, merge in enumerate(data["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.pairs[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.token_bytes: list[bytes] = [b""] * size
+            pairs[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
+        tokens = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for token, i in vocab.items():
-            self.token_bytes[i] = bytes(byte_of[c] for c in token)
-        self.number = {b: i for i, b in enumerate(self.token_bytes) if b}
-        self.neighbours: dict[int, bool] = {}
-        for token, i in self.special.items():
-            self.token_bytes[i] = token.encode()
-        # Longest tokens first need every token to be what merging its own bytes gives.
-        self.sound = all(self.merge(b) == [i] for b, i in self.number.items())
+            tokens[i] = bytes(byte_of[c] for c in token)
+        for token, i in special.items():
+            tokens[i] = token.encode()
+        keys = sorted(pairs)
+        at = _begins(np.array([len(t) for t in tokens]))
+        told = np.frombuffer(json.dumps(special).encode(), np.uint8)
+        self._take([np.array(keys, "<u8"), np.array([pairs[k] for k in keys], "<u8"), np.array([vocab[c] for c in letters], "<u4"), at, np.frombuffer(b"".join(tokens), np.uint8), told])
+
+    @classmethod
+    def mapped(cls, path: str) -> Merger:
+        out = cls.__new__(cls)
+        out._take(_arrays_of(_mapped(path), cls.KINDS))
+        return out
+
+    def file(self) -> bytes:
+        return _file_of([self.keys, self.made, self.byte_ids, self.at, self.data, self.told])
+
+    def _take(self, arrays: list[np.ndarray]) -> None:
+        self.keys, self.made, self.byte_ids, self.at, self.data, self.told = arrays
+        self.special: dict[str, int] = json.loads(self.told.tobytes())
+        whole = self.data.tobytes()
+        self.token_bytes = [whole[a:b] for a, b in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)]
         self.words = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    def pair(self, left: int, right: int) -> int:
+        """rank << 32 | merged, or NEVER."""
+        key = left << 32 | right
+        i = bisect_left(self.keys, key)
+        return int(self.made[i]) if i < len(self.keys) and self.keys[i] == key else NEVER
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """As pair(), of many."""
+        if not len(self.keys):
+            return np.full(len(left), NEVER, np.uint64)
+        key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[i] == key, self.made[i], np.uint64(NEVER))
+
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one word, by rank and then from the left. Long words keep a heap of neighbouring pairs: n log n for n bytes."""
-        ids = [self.byte_ids[b] for b in word]
-        n, get = len(ids), self.pairs.get
-        if n < 40:
-            found = [get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
-            while found:
-                best = min(found)
-                if best == NEVER:
-                    break
-                i = found.index(best)
-                ids[i : i + 2] = [new] = [best & LOW]
-                del found[i]
-                if i:
-                    found[i - 1] = get(ids[i - 1] << 32 | new, NEVER)
-                if i < len(found):
-                    found[i] = get(new << 32 | ids[i + 1], NEVER)
-            return ids
+        """The ids of one word, by rank and then from the left, from a heap of neighbouring pairs: n log n for n bytes."""
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(x, i, ids[i], ids[i + 1]) for i in range(n - 1) if (x := get(ids[i] << 32 | ids[i + 1])) is not None]
-        heap = [(x >> 32, i, a, b, x & LOW) for x, i, a, b in heap]
+        found = self.pairs(np.array(ids[:-1], np.uint64), np.array(ids[1:], np.uint64)).tolist()
+        heap = [(x >> 32, i, ids[i], ids[i + 1], x & LOW) for i, x in enumerate(found) if x != NEVER]
         heapq.heapify(heap)
         while heap:
             _, i, left, right, new = heapq.heappop(heap)
@@ -127,61 +183,60 @@ class Merger:
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (x := get(ids[a] << 32 | ids[b])) is not None:
+                if a >= 0 and b < n and (x := self.pair(ids[a], ids[b])) != NEVER:
                     heapq.heappush(heap, (x >> 32, a, ids[a], ids[b], x & LOW))
         return [x for x in ids if x >= 0]
 
-    def fits(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of two tokens gives these two tokens."""
-        key = left << 32 | right
-        found = self.neighbours.get(key)
-        if found is None:
-            if len(self.neighbours) > REMEMBERED:
-                self.neighbours.clear()
-            self.neighbours[key] = found = self.merge(self.token_bytes[left] + self.token_bytes[right]) == [left, right]
-        return found
-
-    def tokens(self, word: bytes) -> list[int]:
-        """As merge(), by longest tokens first.
-
-        A row of tokens is what merging gives if and only if each two neighbours are
-        what merging their bytes gives, so the first row found with such neighbours
-        alone is it; where no token fits, the last one makes way for a shorter one.
-        """
-        n, number, known = len(word), self.number.get, self.neighbours.get
-        if n > 64:
-            return self.merge(word)
-        out: list[int] = []
-        ends: list[int] = []
-        start, end = 0, n
-        while start < n:
-            last = out[-1] if out else -1
-            while end > start:
-                token = number(word[start:end])
-                if token is not None:
-                    if last < 0:
-                        break
-                    good = known(last << 32 | token)
-                    if good is None:
-                        good = self.fits(last, token)
-                    if good:
-                        break
-                end -= 1
-            if end > start:
-                out.append(token)
-                ends.append(end)
-                start, end = end, n
-            else:
-                out.pop()
-                end = ends.pop()
-                start = ends[-1] if ends else 0
-                end -= 1
-        return out
+    def merge_all(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, and where those of each begin. In a round each word makes its merge of the least rank, the leftmost of equal ones."""
+        sizes = np.diff(begins)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            found = self.merge(data[begins[i] : begins[i + 1]].tobytes())
+            out.append((np.full(len(found), i), np.array(found, np.uint32)))
+        mine = np.flatnonzero((sizes <= LONG_WORD) & (sizes > 0))
+        owner = np.repeat(mine, sizes[mine])
+        ids = self.byte_ids[data[_spread(begins, mine)]]
+        last = np.append(np.diff(owner) != 0, True) if len(owner) else np.zeros(0, bool)
+        rank = np.full(len(ids), NEVER, np.uint64)
+        if len(ids):
+            inner = np.flatnonzero(~last)
+            rank[inner] = self.pairs(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            each = np.diff(np.append(starts, len(ids)))
+            least = np.minimum.reduceat(rank, starts)
+            done = least == np.uint64(NEVER)
+            if done.any():
+                gone = np.repeat(done, each)
+                out.append((owner[gone], ids[gone]))
+                owner, ids, rank = owner[~gone], ids[~gone], rank[~gone]
+                if not len(ids):
+                    break
+                least, each = least[~done], each[~done]
+                starts = _begins(each)[:-1]
+            hits = np.flatnonzero(rank == np.repeat(least, each))
+            hits = hits[np.concatenate(([True], owner[hits[1:]] != owner[hits[:-1]]))]  # a word's first
+            ids[hits] = (least & np.uint64(LOW)).astype(np.uint32)
+            rank[hits] = rank[hits + 1]  # whether anything follows the pair's right part
+            keep = np.ones(len(ids), bool)
+            keep[hits + 1] = False
+            at = hits - np.arange(len(hits))  # places once the right parts are gone: one went for each word before
+            owner, ids, rank = owner[keep], ids[keep], rank[keep]
+            ends = np.append(owner[1:] != owner[:-1], True)
+            begun = np.concatenate(([True], ends[:-1]))
+            rank[at] = NEVER
+            right, left = at[~ends[at]], at[~begun[at]] - 1
+            rank[right] = self.pairs(ids[right], ids[right + 1])
+            rank[left] = self.pairs(ids[left], ids[left + 1])
+        owner, ids = (np.concatenate([np.zeros(0, k), *x]) for k, x in ((np.int64, [x[0] for x in out]), (np.uint32, [x[1] for x in out])))
+        order = np.argsort(owner, kind="stable")
+        return ids[order], _begins(np.bincount(owner, minlength=len(sizes)))
 
     def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The text between special tokens, each with the id of the token that follows it."""
         at = 0
-        if self.specials is not None and any(t in text for t in self.special):
+        if self.specials is not None:
             for m in self.specials.finditer(text):
                 yield text[at : m.start()], self.special[m[0]]
                 at = m.end()
@@ -195,8 +250,8 @@ def build_automaton(words: list[bytes], ids: list[list[int]]) -> bytes:
     """Sorted distinct words to the bytes of a minimal acyclic automaton.
 
     A state is frozen once no later word can pass through it; equal frozen states
-    are one state. Layout: counts, then for each state its first arc, then for each
-    arc (its byte, its target, the words before it), then the words' ids.
+    are one state. Layout: the root, each arc as its source and byte (ascending),
+    its target and the words before it, each state's finality, the words' ids.
     """
     register: dict[tuple, int] = {}
     states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
@@ -227,189 +282,230 @@ def build_automaton(words: list[bytes], ids: list[list[int]]) -> bytes:
     shorten(0)
     root = freeze(path[0])
     below: list[int] = []  # words at and below each state; targets are frozen before their sources
-    for final, arcs in states:
-        below.append(final + sum(below[t] for _, t in arcs))
-    first, marks, targets, skips = [0], [], [], []
-    for final, arcs in states:
+    arcs, targets, skips = [], [], []
+    for state, (final, out) in enumerate(states):
         skip = int(final)
-        for b, t in arcs:
-            marks.append(b)
+        for b, t in out:
+            arcs.append(state << 8 | b)
             targets.append(t)
             skips.append(skip)
             skip += below[t]
-        first.append(len(marks))
-    finals = [int(f) for f, _ in states]
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype("<u4")
-    arrays = [
-        np.array(first, "<u4"), np.array(targets, "<u4"), np.array(skips, "<u4"), offsets,
-        np.array([i for x in ids for i in x], "<u4"), np.array(marks, "u1"), np.array(finals, "u1"),
-    ]
-    return struct.pack("<4I", len(states), len(marks), len(words), root) + b"".join(a.tobytes() for a in arrays)
+        below.append(skip)
+    finals = np.array([f for f, _ in states], "u1")
+    return _file_of([np.array([root], "<i8"), np.array(arcs, "<i8"), np.array(targets, "<u4"), np.array(skips, "<u4"), finals, _begins(np.array([len(x) for x in ids], np.int64)), np.array([i for x in ids for i in x], "<u4")])
 
 
 class Lexicon:
-    """A memory-mapped automaton: word to ids."""
+    """A memory-mapped automaton: words to ids."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        states, arcs, words, self.root = struct.unpack_from("<4I", self.map)
-        at = 16
+        root, self.arcs, self.targets, self.skips, self.finals, self.begins, self.ids = _arrays_of(_mapped(path), ["<i8", "<i8", "<u4", "<u4", "u1", "<i8", "<u4"])
+        self.root = int(root[0])
+
+    def numbers(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for one that the automaton does not hold. All words go on by a byte at a time."""
+        sizes = np.diff(begins)
+        number, state = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.root, np.int64)
+        live, step = np.flatnonzero(sizes > 0), 0
+        while len(live):
+            key = state[live] << 8 | data[begins[live] + step]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            found = self.arcs[arc] == key if len(self.arcs) else np.zeros(len(key), bool)
+            state[live[~found]] = -1
+            live, arc = live[found], arc[found]
+            number[live] += self.skips[arc]
+            state[live] = self.targets[arc]
+            step += 1
+            live = live[sizes[live] > step]
+        return np.where((state >= 0) & (self.finals[np.maximum(state, 0)] > 0), number, -1)
 
-        whole = memoryview(self.map)
+    def get(self, word: bytes) -> list[int] | None:
+        (number,) = self.numbers(*_joined([word]))
+        return None if number < 0 else self.ids[self.begins[number] : self.begins[number + 1]].tolist()
 
-        def part(n: int, size: int = 4) -> memoryview:
-            nonlocal at
-            at += n * size
-            return whole[at - n * size : at].cast("I" if size == 4 else "B")
 
-        self.first, self.targets, self.skips, self.offsets = part(states + 1), part(arcs), part(arcs), part(words + 1)
-        self.ids = part(self.offsets[-1])
-        self.marks_at = at
-        part(arcs, 1)  # the arcs' bytes: searched in the map itself
-        self.finals = part(states, 1)
+class Cut:
+    """Texts without special tokens, cut into words: the distinct words; the words of each distinct chunk; the chunks of the texts.
 
-    def get(self, word: bytes) -> list[int] | None:
-        state, number, find, first, base = self.root, 0, self.map.find, self.first, self.marks_at
-        for i in range(len(word)):
-            low, high = first[state], first[state + 1]
-            arc = find(word[i : i + 1], base + low, base + high)
-            if arc < 0:
-                return None
-            arc -= base
-            number += self.skips[arc]
-            state = self.targets[arc]
-        if not self.finals[state]:
-            return None
-        return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist()
+    Texts are cut before blanks. A word holds a blank at its front at most, and white
+    space looks at what follows only where a run of it ends; so a cut is safe where
+    the character before the blank is not white space, and the words of what lies
+    between safe cuts depend on that alone.
+    """
+
+    def __init__(self, texts: pa.StringArray, words: regex.Pattern):
+        pieces = pc.split_pattern(texts, " ")
+        firsts = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        which, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        alpha = np.fromiter(map(str.isalpha, known), bool, len(known))
+        tight = alpha.copy()
+        for i in np.flatnonzero(~alpha).tolist():
+            tight[i] = known[i] != "" and not known[i][-1].isspace()
+        first = np.zeros(len(which), bool)
+        first[firsts[:-1]] = True  # each text has a piece, if an empty one
+        start = first.copy()
+        start[1:] |= tight[which[:-1]]
+        begins = np.flatnonzero(start)
+        sizes = np.diff(np.append(begins, len(which)))
+        self.text_begins = np.searchsorted(begins, firsts)
+        # chunks of one piece behind a blank, cut from their neighbours on both sides, need no more than the piece
+        plain = (sizes == 1) & ~first[begins] & tight[which[begins]]
+        numbers: dict[str, int] = {}
+        chunk = which[begins]
+        for i in np.flatnonzero(~plain).tolist():
+            a, n = begins[i], sizes[i]
+            said = ("" if first[a] else " ") + (known[which[a]] if n == 1 else " ".join([known[p] for p in which[a : a + n].tolist()]))
+            chunk[i] = len(known) + numbers.setdefault(said, len(numbers))
+        used = np.zeros(len(known), bool)
+        used[chunk[plain]] = True
+        alone, mixed = np.flatnonzero(used & alpha).tolist(), np.flatnonzero(used & ~alpha).tolist()
+        found = words.findall(" " + " ".join([known[i] for i in mixed])) if mixed else []
+        fronts = np.flatnonzero(np.array([w[0] == " " for w in found], bool))
+        others = [words.findall(said) for said in numbers]
+        counts = np.zeros(len(known) + len(numbers), np.int64)
+        counts[alone] = 1
+        counts[mixed] = np.diff(np.append(fronts, len(found)))
+        counts[len(known) :] = [len(x) for x in others]
+        flat = [" " + known[i] for i in alone] + found + [w for x in others for w in x]
+        # the words came in the order alone, mixed, others: back to that of the chunks' numbers
+        order = np.concatenate([np.array(alone, np.int64), np.array(mixed, np.int64), np.arange(len(known), len(counts))])
+        came = np.zeros(len(counts) + 1, np.int64)
+        came[order] = _begins(counts[order])[:-1]
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        self.words: pa.StringArray = coded.dictionary
+        places = np.repeat(came[:-1] - _begins(counts)[:-1], counts) + np.arange(counts.sum())
+        self.chunk_words, self.chunk_begins = coded.indices.to_numpy().astype(np.int64)[places], _begins(counts)
+        self.chunks = chunk
+
+    def counts(self) -> np.ndarray:
+        """How often each distinct word occurs."""
+        often = np.bincount(self.chunks, minlength=len(self.chunk_begins) - 1)
+        return np.bincount(self.chunk_words, weights=np.repeat(often, np.diff(self.chunk_begins)), minlength=len(self.words)).astype(np.int64)
 
 
 class Coder:
-    """Encodes and decodes in a worker: lexicon first, exact merging for the rest. It remembers what it meets first, up to a bound, as packed ids."""
+    """Encodes and decodes: lexicon first, exact merging for the rest."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon | None):
-        self.merger, self.lexicon, self.known, self.words = merger, lexicon, {}, {}
-        self.width = "H" if len(merger.token_bytes) <= 1 << 16 else "I"
+        self.merger, self.lexicon = merger, lexicon
         digits = len(str(len(merger.token_bytes)))
         self.decimal = np.array([f"{i}," for i in range(len(merger.token_bytes))], f"S{digits + 1}")
 
-    def word(self, word: str) -> bytes:
-        """A word with a blank at its front is the piece behind the blank; white space is no piece, as no safe cut follows it."""
-        piece = word[0] == " " and not word[-1].isspace()
-        key, table = (word[1:], self.known) if piece else (word, self.words)
-        found = table.get(key)
-        if found is None:
-            data = word.encode("utf-8", "surrogatepass")
-            ids = self.lexicon.get(data) if self.lexicon else None
-            found = array(self.width, ids if ids is not None else self.merger.tokens(data) if self.merger.sound else self.merger.merge(data)).tobytes()
-            if len(table) < (REMEMBERED if piece else REMEMBERED_WORDS):
-                table[key] = found
-        return found
-
-    def codes(self, chunk: str) -> bytes:
-        """Of a text that is cut safely. Letters alone, with the blank before them, are one word."""
-        if chunk[1:].isalpha() and chunk[0] == " ":
-            return self.word(chunk)
-        return b"".join(map(self.word, self.merger.words.findall(chunk)))
-
-    def segment(self, text: str) -> bytes:
-        """The packed ids of a text without special tokens.
-
-        It is cut before blanks. A word holds a blank at its front at most, and white
-        space looks at what follows only where a run of it ends; so a cut is safe where
-        the character before the blank is not white space, and the ids of what lies
-        between safe cuts depend on that alone.
-        """
-        pieces = text.split(" ")
-        packed = list(map(self.known.get, pieces))
-        packed[0] = None  # no blank before it
-        at = 0
-        while True:
-            try:
-                at = packed.index(None, at)
-            except ValueError:
-                return b"".join(packed)
-            piece = pieces[at]
-            if at and (piece.isalpha() or tight(piece)):
-                packed[at] = found = self.codes(" " + piece)
-                if len(self.known) < REMEMBERED:
-                    self.known[piece] = found
-                continue
-            end = at + 1
-            while end < len(pieces) and not tight(pieces[end - 1]):
-                end += 1
-            packed[at] = self.codes((" " if at else "") + " ".join(pieces[at:end]))
-            packed[at + 1 : end] = [b""] * (end - at - 1)
+    def word_ids(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and where those of each begin."""
+        data, begins = _strings(words)
+        if self.lexicon is None:
+            return self.merger.merge_all(data, begins)
+        number = self.lexicon.numbers(data, begins)
+        new = np.flatnonzero(number < 0)
+        merged, merged_at = self.merger.merge_all(data[_spread(begins, new)], _begins(np.diff(begins)[new]))
+        # rows of the lexicon's ids, then those merged here
+        rows = number.copy()
+        rows[new] = len(self.lexicon.begins) - 1 + np.arange(len(new))
+        held = np.concatenate((self.lexicon.begins, len(self.lexicon.ids) + merged_at[1:]))
+        sizes = held[rows + 1] - held[rows]
+        out, at = np.empty(sizes.sum(), np.uint32), _begins(sizes)
+        old = np.flatnonzero(number >= 0)
+        out[_spread(at, old)] = self.lexicon.ids[_spread(self.lexicon.begins, number[old])]
+        out[_spread(at, new)] = merged
+        return out, at
+
+    def encode_all(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text."""
+        held = [t for t in self.merger.special if pc.any(pc.match_substring(texts, t)).as_py()] if len(texts) else []
+        if held:
+            parts = [list(self.merger.parts(t)) for t in texts.to_pylist()]
+            ids = iter(self._encode(pa.array([p for x in parts for p, _ in x], pa.string())))
+            return [np.concatenate([y for _, s in x for y in (next(ids), np.array([] if s is None else [s], np.uint32))]) for x in parts]
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        cut = Cut(texts, self.merger.words)
+        ids, at = self.word_ids(cut.words)
+        ids, sizes = ids[_spread(at, cut.chunk_words)], np.diff(at)[cut.chunk_words]
+        at = _begins(sizes)[cut.chunk_begins]  # of the distinct chunks
+        out, ends = ids[_spread(at, cut.chunks)], _begins(np.diff(at)[cut.chunks])[cut.text_begins]
+        return [out[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
-        out = []
-        for part, special in self.merger.parts(text):
-            out.append(self.segment(part))
-            if special is not None:
-                out.append(array(self.width, [special]).tobytes())
-        return np.frombuffer(b"".join(out), self.width)
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def said(self, ids: np.ndarray) -> bytes:
         """The ids in decimal, joined by commas."""
         return self.decimal[ids].tobytes().replace(b"\0", b"")[:-1]
 
 
-_LOADED: dict[tuple, Coder] = {}
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, about most bytes of the column's text at a time; a longer text comes alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+_SENT: dict[tuple, str] = {}
+
+
+def _send(spark: SparkSession, data: bytes, label: str) -> str:
+    """Give a file to all executors, also to those that start later. Its name for SparkFiles."""
+    name = f"{label}-{uuid.uuid4().hex}.bin"
+    path = os.path.join(tempfile.mkdtemp(), name)
+    with open(path, "wb") as f:
+        f.write(data)
+    spark.sparkContext.addFile(os.path.abspath(path))
+    return name
 
 
-def coder(vocabulary: str, lexicon: str | None) -> Coder:
-    """This worker's coder. lexicon: a file's name as SparkFiles knows it."""
-    key = (vocabulary, lexicon)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Coder(_merger(vocabulary), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
-    return _LOADED[key]
+def send_vocabulary(spark: SparkSession, vocabulary: str) -> str:
+    """The name of the file of a vocabulary's arrays; sent once for each application."""
+    key = (spark.sparkContext.applicationId, vocabulary, os.stat(vocabulary).st_mtime_ns)
+    if key not in _SENT:
+        _SENT[key] = _send(spark, Merger(vocabulary).file(), "vocabulary")
+    return _SENT[key]
 
 
-_MERGERS: dict[str, Merger] = {}
+_OPEN: dict[str, object] = {}
 
 
-def _merger(vocabulary: str) -> Merger:
-    if vocabulary not in _MERGERS:
-        _MERGERS[vocabulary] = Merger(vocabulary)
-    return _MERGERS[vocabulary]
+def _opened(kind, name: str):
+    """A mapped file of this worker, by the name that SparkFiles knows."""
+    if name not in _OPEN:
+        if len(_OPEN) >= 4:
+            _OPEN.clear()
+        _OPEN[name] = kind(SparkFiles.get(name))
+    return _OPEN[name]
 
 
 def word_counts(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataFrame:
-    """word, n over all texts. Each task counts the pieces between blanks, cuts each distinct one into words, and hands on and forgets its counts when they fill its table."""
+    """word, n over all texts. Each task adds up the words of its batches, and hands them on when they are COUNTED."""
+    sent = send_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger, words = _merger(vocabulary), {}
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            names = list(words)
-            for at in range(0, len(names), 50_000):
-                part = names[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([words[w] for w in part], pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                pieces = pc.split_pattern(batch.column(0).slice(at, 8192).drop_null(), " ").flatten()
-                counts = pieces.value_counts()
-                cut = merger.words.findall
-                for piece, n in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True):
-                    if piece.isalpha():
-                        w = " " + piece
-                        words[w] = words.get(w, 0) + n
-                        continue
-                    for w in cut(" " + piece):
-                        words[w] = words.get(w, 0) + n
-                if len(words) > COUNTED:
-                    yield from rows()
-                    words.clear()
-        yield from rows()
-
-    return docs.select(text_column).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        merger = _opened(Merger.mapped, sent)
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for part in slices(batches, 0):
+            cut = Cut(part.column(0).drop_null(), merger.words)
+            held.append(pa.table([cut.words, pa.array(cut.counts())], ["word", "n"]))
+            if sum(t.num_rows for t in held) > COUNTED:
+                held[:] = [summed()]
+                if held[0].num_rows > COUNTED // 2:
+                    yield from held.pop().to_batches(100_000)
+        if held:
+            yield from summed().to_batches(100_000)
+
+    return docs.select(F.col(text_column).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS, text_column: str = "text") -> str | None:
-    """Compile the words that occur most often and give the file to all executors, also to those that start later. Its name, or None without words."""
-    spark = docs.sparkSession
+    """Compile the words that occur most often and give the file to all executors. Its name, or None without words."""
     counts = materialise(word_counts(docs, vocabulary, text_column).where("n > 1"), "word-counts")
     # The least count that at most size words reach, to an eighth of a power of two: what is collected has size rows at most in all.
     level = F.floor(F.log2(F.col("n").cast("double")) * 8)
@@ -422,36 +518,26 @@ def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS, t
     words = sorted({r.word.encode("utf-8", "surrogatepass") for r in rows})
     if not words:
         return None
-    merger = _merger(vocabulary)
-    data = build_automaton(words, [merger.merge(w) for w in words])
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    with open(path, "wb") as f:
-        f.write(data)
-    spark.sparkContext.addFile(os.path.abspath(path))
-    return name
+    ids, at = Merger(vocabulary).merge_all(*_joined(words))
+    return _send(docs.sparkSession, build_automaton(words, [x.tolist() for x in np.split(ids, at[1:-1])]), "lexicon")
 
 
 def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, id_column: str = "doc_id", text_column: str = "text", digests: bool = False) -> DataFrame:
     """doc_id, ids, decoded (the text that the ids give back); with digests: doc_id, n_tokens, ids_sha256, decoded_sha256 in their place."""
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    sent = send_vocabulary(docs.sparkSession, vocabulary)
+    docs = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rest = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(rest).fields])
+    kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(vocabulary, lexicon)
-        gc.disable()  # what is remembered has no cycles
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for text in part.column(1):
-                    ids = c.encode(text.as_py() or "")
-                    back = c.merger.decode(ids.tolist())
-                    rows.append((len(ids), hashlib.sha256(c.said(ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest()) if digests else (ids.astype(np.int32), back))
-                kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], schema.names)
-        gc.enable()
+        coder = Coder(_opened(Merger.mapped, sent), _opened(Lexicon, lexicon) if lexicon else None)
+        for part in slices(batches, 1):
+            rows = []
+            for ids in coder.encode_all(part.column(1)):
+                back = coder.merger.decode(ids.tolist())
+                rows.append((len(ids), hashlib.sha256(coder.said(ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest()) if digests else (ids.astype(np.int32), back))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
