@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import bounded, materialise, table, tidy
 
 #: Words in the lexicon, at most.
 LEXICON_WORDS = 65_536
@@ -501,7 +501,7 @@ def word_counts(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
         if held:
             yield from summed().to_batches(100_000)
 
-    return docs.select(F.col(text_column).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_column).cast("string")).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS, text_column: str = "text") -> str | None:
@@ -539,7 +539,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, id_column: str
                 rows.append((len(ids), hashlib.sha256(coder.said(ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest()) if digests else (ids.astype(np.int32), back))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def default_vocabulary() -> str:
@@ -555,6 +555,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: doc_id, n_tokens and the digests of each document's ids and of what they decode to."""
+    bounded(spark)
     vocabulary = default_vocabulary()
     return encode(docs, vocabulary, build_lexicon(docs, vocabulary), digests=True)
 

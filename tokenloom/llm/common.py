@@ -10,18 +10,31 @@ Rules that hold for all operators here:
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators.
 NULL_ID = -(2**63)
+#: What a batch between the JVM and Python holds, at most, beside its last row: each task has several on both sides.
+BATCH_BYTES, _BATCH_SETTING, _UNSET = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", (None, "64MB", "64m", "67108864b", "67108864", "2147483647b", "2147483647")
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the session's batches by bytes, unless it has a bound of its own: rows may be texts of any length."""
+    if spark.conf.get(_BATCH_SETTING, None) in _UNSET:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +73,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _trim() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function of batches that leaves no freed memory behind, however it ends."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """A column name that df does not use in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, materialise, table
+from .common import bounded, id_of, key_of, materialise, table
 
 PASSAGE = 32
 STEP = PASSAGE // 2
@@ -344,5 +344,6 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold or paraphrase an item go."""
+    bounded(spark)
     found = materialise(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias("__found")).distinct(), "contaminated")
     return docs.join(found, key_of("doc_id") == F.col("__found"), "left_anti")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, key_of, materialise, sum_of, table
+from .common import bounded, fresh, key_of, materialise, sum_of, table
 from .quality_rules import recount
 
 MIN_CHARS = 40
@@ -220,6 +220,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without its dropped lines."""
+    bounded(spark)
     marked, name = with_bitmaps(docs, line_bitmaps(docs))
     names = docs.columns
     at, end = names.index("text"), len(names)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, id_of, key_of, materialise, mix, pack, pack_sorted, sum_of, table, unpack, unpack_sorted
+from .common import bounded, fresh, give_back, id_of, key_of, materialise, mix, pack, pack_sorted, sum_of, table, tidy, unpack, unpack_sorted
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -85,33 +85,37 @@ def text_keys(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 n.append(len(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (high, low, n))], ["key", "sum", "high", "node", "n_words"])
 
-    return docs.select(key_of(id_column).alias("key"), sum_of(text_column), text_column).mapInArrow(run, "key long, sum long, high long, node long, n_words long")
+    return docs.select(key_of(id_column).alias("key"), sum_of(text_column), text_column).mapInArrow(tidy(run), "key long, sum long, high long, node long, n_words long")
 
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-def shingles(word_lists: list[list[str]], hashes: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text number, shingle hash) pairs of some texts, by hash, and how often each occurs."""
-    sizes = np.array([len(w) for w in word_lists], np.int64)
-    flat = np.array([hashes[w] for words in word_lists for w in words], np.uint64)
-    owner = np.repeat(np.arange(len(word_lists)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # words from here to the text's end
+
+def shingles(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text number, shingle hash) pairs of some texts, given by their words' hashes, by hash, and how often each occurs."""
+    sizes = np.array([len(w) for w in texts], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *texts])
     whole = np.repeat(sizes, sizes)
-    first = left == whole
-    starts = np.flatnonzero((left >= SHINGLE) | first & (whole < SHINGLE))
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # words from here to the text's end
+    starts = np.flatnonzero((left >= SHINGLE) | (left == whole) & (whole < SHINGLE))
+    del whole
+    owner, left = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[starts], left[starts]
     value = np.full(len(starts), 0x9E3779B97F4A7C15, np.uint64)
     for i in range(SHINGLE):
-        inside = left[starts] > i
-        value = np.where(inside, mix(value ^ flat[np.minimum(starts + i, max(len(flat) - 1, 0))]) + np.uint64(i + 1), value)
+        mixed = mix(value ^ flat[np.minimum(starts + i, max(len(flat) - 1, 0))]) + np.uint64(i + 1)
+        value = np.where(left > i, mixed, value)
+    del flat, left, starts
     value = mix(value) >> np.uint64(64 - HASH_BITS)
-    order = np.lexsort((owner[starts], value))
-    value, owner = value[order], owner[starts][order]
+    order = np.argsort(value, kind="stable")  # owners ascend, so they do within a hash
+    value, owner = value[order], owner[order].astype(np.int64)
     if not len(value):
         return owner, value, value.astype(np.int64)
     new = np.concatenate(([True], (np.diff(value) != 0) | (np.diff(owner) != 0)))
@@ -142,13 +146,11 @@ def _send(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
 
-        def blobs(lists: list[list[str]]) -> pa.RecordBatch:
-            nodes = {}
-            for words in lists:
-                nodes.setdefault(node_of(words) & (2**64 - 1), words)
+        def blobs() -> pa.RecordBatch:
             order = sorted(nodes)
             ids = np.array(order, np.uint64)
-            owner, value, tf = shingles([nodes[i] for i in order], hashes)
+            owner, value, tf = shingles([nodes[i] for i in order])
+            nodes.clear()
             starts = np.concatenate(([0], np.flatnonzero(np.diff(value)) + 1)) if len(value) else np.zeros(0, np.int64)
             local = np.diff(np.concatenate((starts, [len(value)])))
             hot = np.repeat(local >= HOT, local)
@@ -170,19 +172,20 @@ def _send(buckets: int):
             columns = list(zip(*rows.values(), strict=True)) if rows else [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], SENT_COLUMNS)
 
-        lists: list[list[str]] = []
+        nodes: dict[int, np.ndarray] = {}
         words = 0
         for batch in batches:
             for text in batch.column(0):
-                lists.append(words_of(text.as_py()))
-                words += len(lists[-1])
+                found = words_of(text.as_py())
+                nodes.setdefault(node_of(found) & (2**64 - 1), hashes.of(found))
+                words += len(found)
                 if words > CHUNK_WORDS:
-                    yield blobs(lists)
-                    lists, words = [], 0
-        if lists:
-            yield blobs(lists)
+                    yield blobs()
+                    words = 0
+        if nodes:
+            yield blobs()
 
-    return run
+    return tidy(run)
 
 
 SENT_COLUMNS = ["bucket", "ids", "docs", "hashes", "tf", "hot_hashes", "hot_counts"]
@@ -233,6 +236,7 @@ def _shared(buckets: int):
             told = [pack(hot), pack(hot_df)]
             rows += [[g, nothing, nothing, nothing, nothing, nothing, *told] for g in range(buckets)]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        give_back()
         return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=SHARED_COLUMNS)
 
     return run
@@ -316,6 +320,7 @@ def _sample(n_docs: int):
         ends = np.concatenate((starts[1:], [len(ids)]))
         packed = [[f(x[a:z]) for a, z in zip(starts, ends, strict=True)] for f, x in ((pack_sorted, value), (pack, tf), (pack, df))]
         lists = [[int(x) for x in row if x] for row in bands.astype(np.int64)]
+        give_back()
         return pa.table([pa.array(nodes, pa.int64()), pa.array(total), *(pa.array(x, pa.binary()) for x in packed), pa.array(central), pa.array(lists, pa.list_(pa.int64()))], schema=SIGNED)
 
     return run
@@ -420,7 +425,7 @@ def compared(pairs: DataFrame, signed: DataFrame, n_docs: int) -> DataFrame:
             told = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], names)
 
-    return both.select("a", "b", *(f"{p}_{c}" for p in "ab" for c in columns)).mapInArrow(run, "a long, b long, linked boolean, size double, added double, common double, lacking double, elements array<struct<element:long,left:double>>")
+    return both.select("a", "b", *(f"{p}_{c}" for p in "ab" for c in columns)).mapInArrow(tidy(run), "a long, b long, linked boolean, size double, added double, common double, lacking double, elements array<struct<element:long,left:double>>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -440,7 +445,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(signed: DataFrame, n_docs: int) -> DataFrame:
     """node, component of the texts that a link joins to another."""
-    members = materialise(signed.select("node", "central", F.explode("bands").alias("band")), "bands")
+    members = signed.select("node", "central", F.explode("bands").alias("band"))
     pivots = members.groupBy("band").agg(F.max(F.struct("central", "node")).alias("top"), F.count("*").alias("n"))
     pivots = materialise(pivots.where("n > 1").select("band", F.col("top.node").alias("pivot")), "pivots")
     first = members.join(pivots, "band").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -481,6 +486,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class the document with the smallest id stays, once."""
+    bounded(spark)
     key, check = fresh("__key", docs), fresh("__sum", docs)
     keep = classes(docs).where(F.struct("key", "sum") == F.col("class_first")).select(F.col("key").alias(key), F.col("sum").alias(check)).distinct()
     marked = docs.withColumns({key: key_of("doc_id"), check: sum_of("text")})

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bounded, table
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -125,6 +125,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their failing lines. All columns of docs stay; n_chars, if any, is that of the new text."""
+    bounded(spark)
     schema, at = docs.schema, docs.columns.index("text")
     kept_at, clean_at = 6, 10
 
