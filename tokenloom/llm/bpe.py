@@ -9,7 +9,7 @@
 3. The automaton is one file that each executor gets a copy of and its Python
    workers memory-map: its pages are shared and read on demand. So is the
    vocabulary, with its merges. A worker keeps nothing else from batch to batch.
-4. Texts are taken in batches of BATCH_BYTES. The distinct words of a batch walk
+4. Texts are taken in batches of BATCH_BYTES (4 MB). The distinct words of a batch walk
    through the automaton side by side, a byte of each at a time; those that it does
    not hold are merged exactly, by rank, side by side as well.
 
@@ -41,12 +41,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, materialise, table, tidy
+from .common import BATCH_BYTES, bounded, materialise, slices, table, tidy
 
 #: Words in the lexicon, at most.
 LEXICON_WORDS = 65_536
-#: Text that a worker takes at a time.
-BATCH_BYTES = 4 << 20
 #: Counted words that a task holds before it hands them on.
 COUNTED = 600_000
 #: Words of more bytes than this are merged one by one, with a heap.
@@ -436,17 +434,6 @@ class Coder:
         return self.decimal[ids].tobytes().replace(b"\0", b"")[:-1]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches, about most bytes of the column's text at a time; a longer text comes alone."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 _SENT: dict[tuple, str] = {}
 
 

@@ -1,156 +1,152 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. One pass over the texts turns words into numbers of the benchmark's vocabulary
-   (zero: a word that no item has) and counts, for each term, the passages of
-   PASSAGE words that hold it. The numbers are written, two bytes a word; no later
-   step reads a text.
-2. Randomised SVD of the TF-IDF passages: each task adds A'(A R) for a random R to
-   a sum over all tasks; the left singular vectors of that sum span the corpus's
-   strongest latent directions. The range is widened by the items' own vectors, so
-   cutting off the other directions loses nothing of a query.
-3. Every passage, at steps of half a passage, is compared with every item: its
-   products with the items come from the items' sparse terms, and passages with a
-   plain cosine of FLOOR are projected into that space. Candidates have a latent
-   cosine of COSINE or more.
+1. One pass over the texts turns words into 32-bit hashes, which are written; no later
+   step reads a text. The terms of the vectors are the corpus's whole vocabulary,
+   hashed to TERMS; the pass counts the passages of PASSAGE words that hold each.
+2. Randomised SVD of the TF-IDF passages: each task adds A'(A R) over its passages,
+   and the tasks' sums are added up as a tree. One half of R is random, the other half
+   random combinations of the items, so the range has the corpus's strongest
+   directions and those of the words that keep the items' words company. The left
+   singular vectors of the sum, RANK of them, span the latent space.
+3. Every passage, at steps of half a passage, is projected into that space, and
+   compared there with every part of every item. Those with a latent cosine of COSINE
+   or more are candidates; nothing else chooses them.
 4. A candidate's surroundings are compared with the whole item: the longest common
-   subsequence of words must hold LCS_SHARE of the item, the item's rarer terms
-   must be there to COVERAGE of their weight, and an answer that the item states
-   must stand there word by word.
+   subsequence of words must hold LCS_SHARE of the item, the item's terms must be
+   there to COVERAGE of their weight, and an answer that the item states must stand
+   there word by word.
 
-The benchmark is the query set; it is worked through in blocks of ITEMS items, so
-what is sent to all tasks has a fixed bound whatever its length.
+The benchmark is the query set. ITEMS of its items are sent to the tasks at a time, so
+that has a fixed bound; texts are numbered and the space is found once for all.
 
 Defined results: null and empty texts match nothing; items without words match
 nothing; a null doc_id is reported as null; rows that repeat a doc_id give one row
-an item; empty tables give an empty table.
+an item; empty tables give an empty table. In the stage each row goes or stays by its
+own id and text.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, id_of, key_of, materialise, table
+from .common import bounded, fresh, id_of, key_of, materialise, slices, sum_of, table, tidy
 
 PASSAGE = 32
 STEP = PASSAGE // 2
-RANK = 32
-ITEMS = 256
+TERMS = 1 << 14
+RANK = 64
+#: Items that are sent to the tasks at a time.
+ITEMS = 4096
 #: Words of an item that make one query vector.
-PART = 2 * PASSAGE
-FLOOR = 0.2
-COSINE = 0.4
-LCS_SHARE = 0.6
-COVERAGE = 0.6
-#: A term in more than this share of passages, and of items, is a stop term: it weighs nothing in a vector, but counts in a subsequence.
-STOP_SHARE = 0.02
+PART = PASSAGE
+COSINE = 0.5
+LCS_SHARE = 0.5
+COVERAGE = 0.45
+#: A term in more than this share of all passages weighs nothing in a vector, but counts in a subsequence.
+STOP_SHARE = 0.05
+#: Tasks whose sums are added up at a time, and terms of such a sum that go together.
+FAN_IN, BLOCK = 64, 1024
 
 #: Taken off both ends of a token.
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’‚…–—¿¡·•"
 ANSWER = re.compile(r"(?:^|\n|\s)(?:answer|réponse|antwort|respuesta|a)\s*:\s*(.+?)\s*$", re.I | re.S)
 
-RESULT = "key long, item_id long, lcs_words long, item_words long, cosine double"
+RESULT = "key long, sum long, item_id long, lcs_words long, item_words long, cosine double"
 
 
-def word_of(token: str) -> str:
-    return token.lower().strip(EDGE)
+def numbers_of(texts: pa.Array) -> list[np.ndarray]:
+    """The numbers of each text's words: what white space parts, in lower case, without EDGE; nothing for tokens of EDGE alone."""
+    tokens = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    ends = tokens.offsets.to_numpy().astype(np.int64) - tokens.offsets[0].as_py()
+    coded = tokens.flatten().dictionary_encode()
+    words = pc.utf8_trim(pc.utf8_lower(coded.dictionary), EDGE).dictionary_encode()
+    known = np.array([xxhash.xxh32_intdigest(w) % (2**32 - 1) + 1 if w else 0 for w in words.dictionary.cast(pa.binary()).to_pylist()], np.uint32)
+    numbers = known[words.indices.to_numpy()][coded.indices.to_numpy()] if len(known) else np.zeros(0, np.uint32)
+    held = numbers > 0
+    ends = np.concatenate(([0], np.cumsum(held)))[ends]
+    return np.split(numbers[held], ends[1:-1])
 
 
-class Numbers(dict):
-    """Token, as split at white space, to the number of its word; other tokens are remembered up to a bound."""
+def terms_of(numbers: np.ndarray) -> np.ndarray:
+    return (numbers % np.uint32(TERMS)).astype(np.int64)
 
-    def __init__(self, terms: dict[str, int]):
-        self.terms = terms
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[token] = n = self.terms.get(token.lower().strip(EDGE), 0)
-        return n
-
-
-def _block(items: list[tuple[int, str]]) -> tuple[dict[str, int], list[np.ndarray], list[list[str]]]:
-    """Vocabulary, the items' numbers, and the words of the answers that they state."""
-    words = [[w for t in (text or "").split() if (w := word_of(t))] for _, text in items]
-    terms = {w: i + 1 for i, w in enumerate(sorted({w for x in words for w in x}))}
-    answers = [[w for t in m[1].split() if (w := word_of(t))] if (m := ANSWER.search(text or "")) else [] for _, text in items]
-    return terms, [np.array([terms[w] for w in x], np.int64) for x in words], answers
-
-
-def _number(docs: DataFrame, terms: dict[str, int], text_column: str) -> DataFrame:
-    """kind 0: key and the numbers of a text. kind 1: of a task, the passages that hold each term; at 0, all its passages."""
-    width = "<u2" if len(terms) < 2**16 else "<u4"
-    size = len(terms) + 1
+def _number(docs: DataFrame, text_column: str) -> DataFrame:
+    """kind 0: key, sum and the numbers of a text with words. kind 1: of a task, the passages that hold each term, and all its passages."""
+    names = ["kind", "key", "sum", "numbers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, held = Numbers(terms), np.zeros(size, np.int64)
-
-        def rows(kind: int, keys: list, blobs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "key", "numbers"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                keys, blobs, passages, found, base = [], [], [], [], 0
-                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = np.array(list(map(numbers.__getitem__, (text.as_py() or "").split())), np.int64)
-                    where = np.flatnonzero(ids)
-                    held[0] += -(-len(ids) // PASSAGE)
-                    if len(where):  # a text without a term of the benchmark has no row
-                        keys.append(key)
-                        blobs.append(ids.astype(width).tobytes())
-                        passages.append(base + where // PASSAGE)
-                        found.append(ids[where])
-                        base += len(ids) // PASSAGE + 1
-                if found:
-                    pairs = np.unique(np.concatenate(passages) * size + np.concatenate(found))
-                    held += np.bincount(pairs % size, minlength=size)
-                yield rows(0, keys, blobs)
-        yield rows(1, [0], [held.tobytes()])
-
-    return docs.select(key_of("doc_id").alias("key"), F.col(text_column).alias("text")).mapInArrow(run, "kind int, key long, numbers binary")
-
-
-def _passage_counts(numbered: DataFrame, size: int) -> np.ndarray:
+        held = np.zeros(TERMS + 1, np.int64)
+        for part in slices(batches, 2):
+            texts = numbers_of(part.column(2))
+            sizes = np.array([len(x) for x in texts], np.int64)
+            passages = -(-sizes // PASSAGE)
+            held[TERMS] += passages.sum()
+            where = np.repeat(np.cumsum(passages) - passages, sizes) + (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // PASSAGE
+            pairs = where * TERMS + terms_of(np.concatenate([np.zeros(0, np.uint32), *texts]))
+            pairs.sort()
+            held[:TERMS] += np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] % TERMS, minlength=TERMS)
+            full = pa.array(sizes > 0)
+            blobs = pa.array([x.tobytes() for x in texts], pa.binary())
+            rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int32)), part.column(0), part.column(1), blobs], names)
+            yield rows.filter(full)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[pa.array([0], pa.int64())] * 2, pa.array([held.tobytes()], pa.binary())], names)
+
+    return docs.select(key_of("doc_id").alias("key"), sum_of(text_column), F.col(text_column)).mapInArrow(tidy(run), "kind int, key long, sum long, numbers binary")
+
+
+def _passage_counts(numbered: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size, np.int64)
+        held = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
             for blob in batch.column(0):
                 held += np.frombuffer(blob.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(held)], ["term", "n"])
+        where = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(held[where])], ["term", "n"])
 
     rows = numbered.where("kind = 1").select("numbers").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = np.zeros(size, np.int64)
-    for r in rows.where("n > 0").collect():  # a row for each term of the block
+    counts = np.zeros(TERMS + 1, np.int64)
+    for r in rows.collect():  # a row for each term
         counts[r.term] = r.n
     return counts
 
 
-def _gathered(blobs, width: str, step: int, weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[int]]:
-    """All numbers of some texts; the weighty ones with their cells (step words each; a cell is left free between texts); each text's first cell."""
-    texts, ids, cells, firsts, base = [], [], [], [], 0
-    for blob in blobs:
-        numbers = np.frombuffer(blob.as_buffer(), width)
-        where = np.flatnonzero(weight[numbers] > 0)
-        texts.append(numbers)
-        firsts.append(base)
-        ids.append(numbers[where])
-        cells.append(base + where // step)
-        base += len(numbers) // step + 2
-    none = np.zeros(0, np.int64)
-    return texts, np.concatenate([none, *ids]).astype(np.int64), np.concatenate([none, *cells]), firsts
+def weights(counts: np.ndarray) -> np.ndarray:
+    """Inverse passage frequencies; none for terms of more than STOP_SHARE of the passages, unless these are few."""
+    passages = max(1, int(counts[TERMS]))
+    out = np.log((1 + passages) / (1 + counts[:TERMS])) + 1
+    out[counts[:TERMS] > max(STOP_SHARE * passages, 10)] = 0
+    return out.astype(np.float32)
+
+
+def _gathered(blobs, step: int, weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """All numbers of some texts; their weighty terms with their cells (step words each; a cell is left free between texts), each once in a cell; each text's first cell."""
+    texts = [np.frombuffer(blob.as_buffer(), np.uint32) for blob in blobs]
+    sizes = np.array([len(x) for x in texts], np.int64)
+    room = sizes // step + 2
+    firsts = np.cumsum(room) - room
+    ids = terms_of(np.concatenate([np.zeros(0, np.uint32), *texts]))
+    cells = np.repeat(firsts, sizes) + (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // step
+    pairs = (cells * TERMS + ids)[weight[ids] > 0]
+    pairs.sort()
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]  # a word that fills a passage must not hide the others
+    return texts, pairs % TERMS, pairs // TERMS, firsts
 
 
 def _sums(vectors: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells, ascending, and the sums of their terms' vectors."""
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(cells)) + 1)) if len(cells) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.diff(cells, prepend=-1))
     out = np.empty((len(starts), vectors.shape[1]), np.float32)
-    most = 40_000  # terms at a time: bounded memory
+    most = 20_000  # terms at a time: bounded memory
     at = 0
     while at < len(starts):
         end = max(at + 1, int(np.searchsorted(starts, starts[at] + most)))
@@ -160,34 +156,54 @@ def _sums(vectors: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> tuple[np.n
     return cells[starts], out
 
 
-def _latent_sum(numbered: DataFrame, weight: np.ndarray, width: str, rank: int) -> np.ndarray:
-    """A'(A R), terms by rank, over all passages of all texts."""
-    spark, size = numbered.sparkSession, len(weight)
-    sent = spark.sparkContext.broadcast(weight)
-    names = [f"z{i}" for i in range(rank)]
+def _some(batch: pa.RecordBatch, column: int, words: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Texts of about so many words at a time."""
+    return slices(iter([batch]), column, 4 * words)
+
+
+def _latent_sum(numbered: DataFrame, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A'(A R), terms by rank, over all passages of all texts. start: R."""
+    sent = numbered.sparkSession.sparkContext.broadcast((weight, start.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = sent.value
-        vectors = (np.random.default_rng(7).standard_normal((size, rank)) * weight[:, None]).astype(np.float32)
-        total = np.zeros((size, rank))
+        from pyspark import TaskContext
+
+        weight, start = sent.value
+        vectors, total = start * weight[:, None], np.zeros(start.shape, np.float32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                _, ids, cells, _ = _gathered(batch.column(0).slice(at, 1024), width, PASSAGE, weight)
+            for part in _some(batch, 0):
+                _, ids, cells, _ = _gathered(part.column(0), PASSAGE, weight)
                 if not len(ids):
                     continue
                 found, sums = _sums(vectors, ids, cells)
-                norms = np.sqrt(np.bincount(np.searchsorted(found, cells), weights=weight[ids] ** 2))
-                sums /= (norms[:, None] ** 2).astype(np.float32)
+                place = np.cumsum(np.diff(cells, prepend=cells[0]) != 0)
+                norms = np.bincount(place, weights=weight[ids].astype(np.float64) ** 2)
+                sums /= norms[:, None].astype(np.float32)
                 order = np.argsort(ids, kind="stable")
-                terms, back = _sums(sums, np.searchsorted(found, cells)[order], ids[order])
+                terms, back = _sums(sums, place[order], ids[order])
                 total[terms] += back * weight[terms, None]
-        where = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(where), *(pa.array(total[where, i]) for i in range(rank))], ["term", *names])
-
-    rows = numbered.where("kind = 0").select("numbers").mapInArrow(run, "term long, " + ", ".join(f"{n} double" for n in names))
-    out = np.zeros((size, rank))
-    for r in rows.groupBy("term").agg(*(F.sum(n).alias(n) for n in names)).collect():  # a row for each term of the block
-        out[r[0]] = r[1:]
+        blocks = [total[a : a + BLOCK].tobytes() for a in range(0, TERMS, BLOCK)]
+        task = [TaskContext.get().partitionId()] * len(blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(task, pa.int64()), pa.array(blocks, pa.binary())], ["block", "task", "sums"])
+
+    def added(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, total = None, 0
+        for batch in group:
+            for i in range(batch.num_rows):
+                head = head or batch.slice(i, 1)
+                total = total + np.frombuffer(batch.column(2)[i].as_buffer(), np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "task", "sums"])
+
+    schema = "block int, task long, sums binary"
+    texts = numbered.where("kind = 0").select("numbers")
+    sums, tasks = texts.mapInArrow(tidy(run), schema), texts.rdd.getNumPartitions()
+    while tasks > 1:
+        sums = sums.withColumn("task", F.floor(F.col("task") / FAN_IN))
+        sums, tasks = sums.groupBy("block", "task").applyInArrow(lambda t: pa.Table.from_batches(added(iter(t.to_batches()))), schema), -(-tasks // FAN_IN)
+    out = np.zeros(start.shape)
+    for r in sums.collect():  # a row for each block of terms
+        block = np.frombuffer(r.sums, np.float32).reshape(-1, start.shape[1])
+        out[r.block * BLOCK : r.block * BLOCK + len(block)] += block
     return out
 
 
@@ -203,147 +219,148 @@ def lcs_length(masks: dict[int, int], n: int, words) -> int:
     return n - row.bit_count()
 
 
-def _holds(numbers: np.ndarray, answer: list[int]) -> bool:
-    if not answer:
-        return True
-    if 0 in answer or len(answer) > len(numbers):
-        return False
-    hits = np.flatnonzero(numbers[: len(numbers) - len(answer) + 1] == answer[0])
-    return any(numbers[h : h + len(answer)].tolist() == answer for h in hits)
+class Item:
+    """An item of the benchmark, as the checks need it."""
+
+    def __init__(self, number: int, words: np.ndarray, answer: np.ndarray, weight: np.ndarray):
+        self.id, self.n, self.words, self.answer = number, len(words), frozenset(words.tolist()), answer.tolist()
+        self.masks: dict[int, int] = {}
+        for i, w in enumerate(words.tolist()):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
+        self.weight = {w: float(weight[w % TERMS]) for w in self.masks}
+        self.mass = sum(self.weight.values())
 
+    def held(self, near: np.ndarray) -> int:
+        """The words of the longest common subsequence, if near holds or paraphrases the item; else 0."""
+        words = near.tolist()
+        there = self.words.intersection(words)
+        if sum(self.weight[w] for w in there) < COVERAGE * self.mass or len(there) < LCS_SHARE * len(self.words) / 2:
+            return 0
+        length = lcs_length(self.masks, self.n, words)
+        return length if length >= LCS_SHARE * self.n and self.answered(words) else 0
 
-def _postings(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of a matrix, sparse: where each begins, columns, values."""
-    rows, columns = np.nonzero(table)
-    return np.searchsorted(rows, np.arange(len(table) + 1)), columns, table[rows, columns]
+    def answered(self, words: list[int]) -> bool:
+        n = len(self.answer)
+        return not n or any(words[i : i + n] == self.answer for i, w in enumerate(words) if w == self.answer[0])
 
 
-def _products(ids: np.ndarray, rank: np.ndarray, cells: int, postings: tuple, queries: int) -> np.ndarray:
-    """Cells by queries: the products of the cells' terms with the queries."""
-    start, column, value = postings
-    n = start[ids + 1] - start[ids]
-    at = np.repeat(start[ids] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    return np.bincount(np.repeat(rank, n) * queries + column[at], weights=value[at], minlength=cells * queries).reshape(cells, queries)
+def window(numbers: np.ndarray, cell: int, n: int) -> np.ndarray:
+    """What surrounds the passage that begins at a cell, for an item of n words."""
+    return numbers[max(0, cell * STEP - n) : cell * STEP + PASSAGE + n]
 
 
-def _candidates(ids: np.ndarray, cells: np.ndarray, weight: np.ndarray, vectors: np.ndarray, postings: tuple, queries: int, block: int = 8192) -> Iterator[tuple[int, int, float]]:
+def _candidates(ids: np.ndarray, cells: np.ndarray, vectors: np.ndarray, queries: np.ndarray, block: int = 8192) -> Iterator[tuple[int, int, float]]:
     """(first cell, query, latent cosine) of the passages near a query. A passage is a cell and the one after it."""
-    found, rank = np.unique(cells, return_inverse=True)
+    found, sums = _sums(vectors, ids, cells)
+    joined = np.flatnonzero(np.diff(found) == 1)
+    passages = sums.copy()
+    passages[joined] += sums[joined + 1]
+    passages /= np.maximum(np.linalg.norm(passages, axis=1), 1e-9)[:, None]
     for a in range(0, len(found), block):
-        z = min(a + block, len(found))
-        more = z < len(found) and found[z] == found[z - 1] + 1
-        part = slice(*np.searchsorted(rank, (a, z + more)))
-        mine, r = ids[part], rank[part] - a
-        here = found[a : z + more]
-        joined = np.flatnonzero(np.diff(here) == 1)
-        products = _products(mine, r, len(here), postings, queries)
-        passages = products.copy()
-        passages[joined] += products[joined + 1]
-        # each token is in the passage of its cell and, if it follows at once, in that of the cell before
-        second = np.isin(r, joined + 1)
-        pairs, tf = np.unique(np.concatenate((r, r[second] - 1)) * len(weight) + np.concatenate((mine, mine[second])), return_counts=True)
-        norms = np.sqrt(np.bincount(pairs // len(weight), weights=(weight[pairs % len(weight)] * tf) ** 2, minlength=len(here)))
-        near_p, near_q = np.nonzero(passages[: z - a] >= FLOOR * norms[: z - a, None])
-        if not len(near_p):
-            continue
-        need = np.unique(near_p)
-        adjacent = np.isin(need, joined)
-        wanted = np.unique(np.concatenate((need, need[adjacent] + 1)))
-        chosen = np.isin(r, wanted)
-        _, sums = _sums(vectors, mine[chosen], r[chosen])
-        latent = sums[np.searchsorted(wanted, need)]
-        latent[adjacent] += sums[np.searchsorted(wanted, need[adjacent] + 1)]
-        length = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
-        cosine = passages[near_p, near_q] / length[np.searchsorted(need, near_p)]
-        for p, q, c in zip(near_p[cosine >= COSINE], near_q[cosine >= COSINE], cosine[cosine >= COSINE], strict=True):
-            yield int(here[p]), int(q), float(min(c, 1.0))
-
-
-def _search(numbered: DataFrame, weight: np.ndarray, width: str, basis: np.ndarray, queries: np.ndarray, owner: list[int], items: list[np.ndarray], answers: list[list[int]], item_ids: list[int]) -> DataFrame:
-    sent = numbered.sparkSession.sparkContext.broadcast((weight, (basis * weight[:, None]).astype(np.float32), _postings(queries * weight[:, None]), owner, items, answers, item_ids))
+        for b in range(0, len(queries), 256):
+            cosine = passages[a : a + block] @ queries[b : b + 256].T
+            near, query = np.nonzero(cosine >= COSINE)
+            for p, q, c in zip(near.tolist(), query.tolist(), cosine[near, query].tolist(), strict=True):
+                yield int(found[a + p]), b + q, min(c, 1.0)
+
+
+def _search(numbered: DataFrame, weight: np.ndarray, vectors: np.ndarray, items: list[Item], owner: list[int], queries: np.ndarray) -> DataFrame:
+    sent = numbered.sparkSession.sparkContext.broadcast((weight, vectors, items, owner, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, vectors, postings, owner, items, answers, item_ids = sent.value
-        masks = []
-        for item in items:
-            masks.append({})
-            for i, w in enumerate(item.tolist()):
-                masks[-1][w] = masks[-1].get(w, 0) | 1 << i
-        mass = [weight[np.unique(item)].sum() for item in items]
+        weight, vectors, items, owner, queries = sent.value
         for batch in batches:
             out = []
-            for at in range(0, batch.num_rows, 512):
-                keys = batch.column(0).slice(at, 512).to_pylist()
-                texts, ids, cells, firsts = _gathered(batch.column(1).slice(at, 512), width, STEP, weight)
+            for part in _some(batch, 2):
+                texts, ids, cells, firsts = _gathered(part.column(2), STEP, weight)
                 best: dict[tuple[int, int], tuple] = {}
-                for cell, q, cosine in _candidates(ids, cells, weight, vectors, postings, len(owner)):
-                    text = int(np.searchsorted(firsts, cell, side="right")) - 1
-                    item = owner[q]
-                    n = len(items[item])
-                    if (text, item) in best and best[text, item][0] >= n:
-                        continue
-                    start = (cell - firsts[text]) * STEP
-                    near = texts[text][max(0, start - n) : start + PASSAGE + n]
-                    length = lcs_length(masks[item], n, near[near > 0].tolist())
-                    if length < LCS_SHARE * n or (text, item) in best and best[text, item][0] >= length:
-                        continue
-                    there = np.intersect1d(near, items[item])
-                    if weight[there].sum() >= COVERAGE * mass[item] and _holds(near, answers[item]):
-                        best[text, item] = (length, n, cosine)
-                out += [(keys[t], item_ids[i], *x) for (t, i), x in best.items()]
-            kinds = [pa.int64()] * 4 + [pa.float64()]
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "item_id", "lcs_words", "item_words", "cosine"])
-
-    return numbered.where("kind = 0").select("key", "numbers").mapInArrow(run, RESULT)
+                for cell, q, cosine in _candidates(ids, cells, vectors, queries):
+                    text, i = int(np.searchsorted(firsts, cell, side="right")) - 1, owner[q]
+                    had = best.get((text, i), (0, 0, 0.0))
+                    if had[0] < items[i].n:
+                        length = items[i].held(window(texts[text], cell - int(firsts[text]), items[i].n))
+                        if length:
+                            best[text, i] = max(had, (length, items[i].n, cosine))
+                keys, sums = part.column(0), part.column(1)
+                out += [(keys[t].as_py(), sums[t].as_py(), items[i].id, *x) for (t, i), x in best.items()]
+            kinds = [pa.int64()] * 5 + [pa.float64()]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "sum", "item_id", "lcs_words", "item_words", "cosine"])
+
+    return numbered.where("kind = 0").select("key", "sum", "numbers").mapInArrow(tidy(run), RESULT)
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """ITEMS items at a time: id, words, words of the answer. Items without words are left out."""
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()
+    for block in itertools.batched(rows, ITEMS):
+        words = numbers_of(pa.array([r[1] for r in block], pa.string()))
+        answers = numbers_of(pa.array([m[1] if (m := ANSWER.search(r[1] or "")) else "" for r in block], pa.string()))
+        yield [(r[0], w, a) for r, w, a in zip(block, words, answers, strict=True) if len(w)]
+
+
+def _parts(items: list[tuple], weight: np.ndarray, vectors: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The items' parts as queries: the item of each, and the sums of its terms' vectors, of length one. The last part reaches back to be whole."""
+    owner, rows = [], []
+    for i, (_, words, _) in enumerate(items):
+        for a in range(0, len(words), PART):
+            terms = terms_of(words[max(0, min(a, len(words) - PART)) : a + PART])
+            row = vectors[np.unique(terms)].sum(axis=0)
+            if (norm := float(np.linalg.norm(row))) > 1e-9:
+                owner.append(i)
+                rows.append(row / norm)
+    return owner, np.array(rows, np.float32).reshape(-1, vectors.shape[1])
+
+
+def latent_space(numbered: DataFrame, benchmark: DataFrame, weight: np.ndarray) -> np.ndarray | None:
+    """Terms by rank: the terms' latent vectors. None without items.
+
+    The latent directions are those of the corpus and of what is near the benchmark,
+    each by the inverse of its own strength, so that a language or a topic does not
+    make all its passages alike; a term's vector has its weight for its length.
+    """
+    rng = np.random.default_rng(7)
+    start, some = rng.standard_normal((TERMS, RANK)), False
+    start[:, RANK // 2 :] = 0
+    for items in _blocks(benchmark):
+        for _, words, _ in items:
+            some = True
+            terms, tf = np.unique(terms_of(words), return_counts=True)
+            q = tf * weight[terms]
+            start[np.ix_(terms, range(RANK // 2, RANK))] += np.outer(q / max(1e-9, float(np.linalg.norm(q))), rng.standard_normal(RANK - RANK // 2))
+    if not some:
+        return None
+    basis, strength, _ = np.linalg.svd(_latent_sum(numbered, weight, start), full_matrices=False)
+    some = strength > 1e-6 * max(1e-30, strength[0])
+    vectors = basis[:, some] / np.sqrt(strength[some])  # the strengths of a sum A'A are squares of A's
+    return (vectors * (weight / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12))[:, None]).astype(np.float32)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
-    """key, item_id, lcs_words, item_words, cosine: the items that a document holds or paraphrases."""
-    spark, found = docs.sparkSession, []
-    everything = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()]
-    for at in range(0, len(everything), ITEMS):
-        items = everything[at : at + ITEMS]
-        terms, numbers, answers = _block(items)
-        if not terms:
-            continue
-        width = "<u2" if len(terms) < 2**16 else "<u4"
-        numbered = materialise(_number(docs, terms, text_column), "benchmark-numbers")
-        counts = _passage_counts(numbered, len(terms) + 1)
-        passages = max(1, int(counts[0]))
-        in_items = np.bincount(np.concatenate([np.unique(x) for x in numbers]), minlength=len(counts))
-        weight = np.log((1 + passages) / (1 + np.minimum(counts, passages))) + 1
-        weight[(counts > STOP_SHARE * passages) & (in_items > max(1, STOP_SHARE * len(items)))] = 0
-        weight[0] = 0
-        parts = [(i, x[a : a + PART]) for i, x in enumerate(numbers) for a in range(0, len(x), PART)]
-        queries = np.zeros((len(counts), len(parts)))
-        for q, (_, part) in enumerate(parts):
-            np.add.at(queries[:, q], part, weight[part])
-        norms = np.linalg.norm(queries, axis=0)
-        queries = queries[:, norms > 0] / norms[norms > 0]
-        owner = [i for (i, _), n in zip(parts, norms, strict=True) if n > 0]
-        if not owner:
-            continue
-        latent, strength, _ = np.linalg.svd(_latent_sum(numbered, weight, width, min(RANK, len(counts))), full_matrices=False)
-        basis, _ = np.linalg.qr(np.hstack([queries, latent[:, strength > 1e-9 * max(1e-30, strength[0])]]))
-        answer_ids = [[terms.get(w, 0) for w in x] for x in answers]
-        found.append(_search(numbered, weight, width, basis, queries, owner, numbers, answer_ids, [i for i, _ in items]))
-    if not found:
-        return spark.createDataFrame([], RESULT)
-    every = found[0]
-    for x in found[1:]:
-        every = every.union(x)
-    best = F.max_by(F.struct("lcs_words", "item_words", "cosine"), F.struct("lcs_words", "cosine")).alias("best")
-    return every.groupBy("key", "item_id").agg(best).select("key", "item_id", "best.*")
+    """key, sum, item_id, lcs_words, item_words, cosine: the items that a row holds or paraphrases."""
+    numbered = materialise(_number(docs, text_column), "numbers")
+    weight = weights(_passage_counts(numbered))
+    vectors = latent_space(numbered, benchmark, weight)
+    every = docs.sparkSession.createDataFrame([], RESULT)
+    if vectors is None:
+        return every
+    for items in _blocks(benchmark):
+        owner, queries = _parts(items, weight, vectors)
+        if owner:
+            every = every.union(_search(numbered, weight, vectors, [Item(*x, weight) for x in items], owner, queries))
+    return every
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(id_of("key").alias("doc_id"), "item_id", "lcs_words", "item_words", "cosine")
+    best = F.max_by(F.struct("lcs_words", "item_words", "cosine"), F.struct("lcs_words", "cosine")).alias("best")
+    return found.groupBy("key", "item_id").agg(best).select(id_of("key").alias("doc_id"), "item_id", "best.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold or paraphrase an item go."""
+    """Rows that hold or paraphrase an item go."""
     bounded(spark)
-    found = materialise(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias("__found")).distinct(), "contaminated")
-    return docs.join(found, key_of("doc_id") == F.col("__found"), "left_anti")
+    key, check = fresh("__key", docs), fresh("__sum", docs)
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias(key), F.col("sum").alias(check)).distinct()
+    marked = docs.withColumns({key: key_of("doc_id"), check: sum_of("text")})
+    return marked.join(materialise(found, "contaminated"), [key, check], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
