@@ -169,6 +169,57 @@ def test_html(spark, folder):
     assert len(rows) == 4 and all(r.n_chars == len(r.text) for r in rows)
 
 
+def unmarked_page(rng):
+    """A page without an article element or telling names, and the lines of its text."""
+    said = lambda n: prose(rng, n).capitalize() + "."
+    body = [said(rng.randrange(4, 9))] + [said(rng.choice([1, 3, 30, 60, 90])) for _ in range(rng.randrange(4, 12))] + [said(70)]
+    rng.shuffle(body)
+    menu = "".join(f"<li><a href='/{k}'>{said(rng.randrange(1, 4))}</a></li>" for k in range(rng.randrange(3, 12)))
+    side = "".join(f"<div><div><p>{said(rng.randrange(2, 6))} <a href='#'>more of it</a></p></div></div>" for _ in range(rng.randrange(3)))
+    article = "".join(f"<p>{x}</p>" if rng.random() < 0.8 else f"<div>{x}</div>" for x in body)
+    return f"<html><body><div><ul>{menu}</ul></div><div><div>{article}</div></div>{side}<div><div>{said(5)}</div><div><a href='/'>{said(3)}</a></div></div></body></html>", body
+
+
+def test_windows_find_the_text_of_unmarked_pages():
+    """Precision and recall of characters where nothing but the lengths tells; another window gives another text."""
+    rng, right, found, wanted, other = random.Random(12), 0, 0, 0, 0
+    for _ in range(300):
+        page, body = unmarked_page(rng)
+        lines = html_text.main_text(page).split("\n\n")
+        both = Counter(lines) & Counter(body)
+        right += sum(len(x) * n for x, n in both.items())
+        found += sum(map(len, lines))
+        wanted += sum(map(len, body))
+        other += html_text.main_text(page, block=1) != html_text.main_text(page) != html_text.main_text(page, block=8)
+    assert right >= 0.95 * found and right >= 0.95 * wanted and other > 100
+
+
+def test_stretches_are_those_of_the_definition():
+    rng = random.Random(13)
+    for _ in range(500):
+        sizes = [rng.choice([0, 0, 0, 5, 40, 300]) for _ in range(rng.randrange(1, 40))]
+        block = rng.randrange(1, 6)
+        if not any(sizes):
+            continue
+        sums = [sum(sizes[i : i + block]) for i in range(len(sizes))]
+        surges = [i for i, x in enumerate(sums) if x and (i == 0 or not sums[i - 1])]
+        dives = [next((k for k in range(i, len(sums)) if not sums[k]), len(sums)) for i in surges]
+        plain = [(a, z) for a, z in zip(surges, dives, strict=True) if max(sums[a:z]) >= html_text.SURGE * max(sums)]
+        assert html_text.stretches(html_text.np.array(sizes), block) == plain
+
+
+def test_a_small_article_is_no_gate():
+    rng = random.Random(14)
+    body = [prose(rng, 60) for _ in range(6)]
+    page = f"<body><div><div>{''.join(f'<p>{x}</p>' for x in body)}</div></div><div><div><div><article><p>A short teaser.</p></article></div></div></div></body>"
+    assert html_text.main_text(page).split("\n\n") == body
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    text = html_text.main_text("<div><b>" * 60_000 + "deep words" + "</i></div>" * 60_000)
+    assert text == "deep words"
+
+
 def brute_rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -1,24 +1,30 @@
 """Main text by line-block distribution.
 
-1. Markup is stripped in one pass over the page: elements that are boilerplate by
-   kind (menus, headers, footers, sidebars, forms, scripts, ...) or by the words
-   of their class, id or role go with all they hold; each block element starts a
-   new line. A stripped block leaves a line of length zero.
-2. The lengths of the lines are summed over a sliding window of BLOCK lines.
-3. A surge point is where the sum rises from nothing to text; the dive point is
-   where it falls back to nothing for longer than GAP lines. The stretch between
-   them with the most text is the main text, with every line in it, however short.
-   Further stretches are kept when they lie in an article or main element.
-
-Defined results: a null or empty page, or one without text, gives an empty text;
-unclosed tags end with their parents; null ids and urls pass through; repeated
-rows are done one by one; an empty table gives an empty table.
+1. Markup is stripped in one pass over the page. Elements that are boilerplate by kind
+   (menus, headers, footers, sidebars, forms, scripts, ...) or by the words of their
+   class, id or role go with all they hold, as the text they hold can be as long as
+   that of an article. Each block of text is a line, and each border of a container
+   (div, section, list, ..., and of what was stripped) an empty line, so that parts of
+   a page that are far apart in its structure are far apart in its lines.
+2. The lengths of the lines, link texts apart, are summed over a window of BLOCK
+   lines from each line on.
+3. A surge point is a line where the sum is no longer zero, a dive point one where it is
+   zero again. What lies between the two is kept, with every line, however short, if
+   its sum reaches SURGE of the largest sum of the page somewhere in between.
+4. An article or main element is a hint by mass: where such elements hold HINT of
+   the lengths or more, nothing else is text, and every line of theirs is kept.
+
+Defined results: a null or empty page, or one without text, gives an empty text; a
+page of links alone counts the links' texts; unclosed tags end with their parents;
+null ids and urls pass through; repeated rows are done one by one; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +36,8 @@ from pyspark.sql import types as T
 from .common import table
 
 BLOCK = 3
-GAP = 6
+SURGE = 0.25
+HINT = 0.5
 
 #: Elements whose content is raw text up to their end tag.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template"}
@@ -41,6 +48,8 @@ BLOCKS = {
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary",
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 } | STRIPPED
+#: Blocks whose borders are empty lines.
+CONTAINERS = {"address", "article", "body", "center", "details", "div", "dl", "fieldset", "figure", "header", "hgroup", "html", "main", "ol", "section", "table", "ul"} | STRIPPED
 #: A start tag of the first kind closes an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN = {"article", "main"}
@@ -71,29 +80,34 @@ def unwanted(tag: str, attributes: str, inside_main: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "", attributes)))
 
 
-def strip_markup(page: str) -> list[tuple[str, bool]]:
-    """The page's lines, each with whether it lies in an article or main element. Stripped blocks are empty lines."""
-    lines: list[tuple[str, bool]] = []
+def strip_markup(page: str) -> list[tuple[str, int, bool]]:
+    """The page's lines: text, its length without link texts, and whether it lies in an article or main element."""
+    lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each began a stripped part
-    off = main = 0
+    opened: Counter[str] = Counter()
+    off = main = linked = 0
     at, raw = 0, None
 
-    def end_line(mark: bool = False) -> None:
+    def end_line(tag: str | None = None) -> None:
+        nonlocal linked
         if text:
-            line = " ".join("".join(text).split())
-            text.clear()
+            whole = "".join(text)
+            line = " ".join(whole.split())
             if line:
-                lines.append((line, main > 0))
-                return
-        if mark:
-            lines.append(("", main > 0))
+                lines.append((line, max(0, len(line) - linked), main > 0))
+        text.clear()
+        linked = 0
+        if tag in CONTAINERS and not off:
+            lines.append(("", 0, main > 0))
 
     def pop() -> None:
         nonlocal off, main
         tag, stripped = stack.pop()
+        opened[tag] -= 1
         off -= stripped
         main -= tag in MAIN
+
     while at <= len(page):
         if raw:
             m = re.compile(rf"</{re.escape(raw)}(?=[\s/>])[^>]*(?:>|$)", re.I).search(page, at)
@@ -103,6 +117,8 @@ def strip_markup(page: str) -> list[tuple[str, bool]]:
         m = TOKEN.search(page, at)
         if not off and (end := m.start() if m else len(page)) > at:
             text.append(html_lib.unescape(page[at:end]))
+            if opened["a"] > 0:
+                linked += len(" ".join(text[-1].split()))
         if m is None:
             break
         at = max(m.end(), at + 1)
@@ -110,9 +126,9 @@ def strip_markup(page: str) -> list[tuple[str, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if opened[tag] > 0:
                 if tag in BLOCKS:
-                    end_line()
+                    end_line(tag)
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -124,14 +140,14 @@ def strip_markup(page: str) -> list[tuple[str, bool]]:
                 text.append("\n")
             continue
         if tag in BLOCKS:
-            end_line()
+            end_line(tag)
             while stack and stack[-1][0] in CLOSES.get(tag, ()):
                 pop()
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         gone = not off and unwanted(tag, m[3], main > 0)
         if gone:
-            end_line(mark=True)
+            end_line(tag)
         if tag == "p" and stack and not off:  # a paragraph ends the one before it, and what that has left open
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
@@ -141,6 +157,7 @@ def strip_markup(page: str) -> list[tuple[str, bool]]:
                 if stack[i][0] in BLOCKS:
                     break
         stack.append((tag, gone))
+        opened[tag] += 1
         off += gone
         main += tag in MAIN
         if tag in RAW:
@@ -149,23 +166,27 @@ def strip_markup(page: str) -> list[tuple[str, bool]]:
     return lines
 
 
-def main_text(page: str | None, block: int = BLOCK, gap: int = GAP) -> str:
+def stretches(sizes: np.ndarray, block: int = BLOCK, surge: float = SURGE) -> list[tuple[int, int]]:
+    """From each surge point to the dive point after it, if the sums between reach surge of the largest one. The last line's window, and those near it, are cut short."""
+    sums = np.convolve(sizes, np.ones(block, np.int64))[block - 1 :]
+    high = sums > 0
+    borders = np.flatnonzero(np.diff(np.concatenate(([False], high, [False]))))
+    return [(int(a), int(z)) for a, z in borders.reshape(-1, 2) if sums[a:z].max() >= surge * sums.max()]
+
+
+def main_text(page: str | None, block: int = BLOCK, surge: float = SURGE) -> str:
     lines = strip_markup(page or "")
-    if any(inside and line for line, inside in lines):
-        lines = [(line if inside else "", inside) for line, inside in lines]
-    sizes = np.array([len(line) for line, _ in lines], np.int64)
+    sizes = np.array([size for _, size, _ in lines], np.int64)
+    if not sizes.any():  # links alone
+        sizes = np.array([len(line) for line, _, _ in lines], np.int64)
     if not sizes.any():
         return ""
-    sums = np.convolve(sizes, np.ones(block, np.int64))[block - 1 :] if len(sizes) >= block else np.cumsum(sizes[::-1])[::-1]
-    stretches: list[list[int]] = []  # from a surge point to a dive point
-    for i in np.flatnonzero((sizes > 0) & (sums > 0)).tolist():
-        if stretches and i - stretches[-1][1] <= gap:
-            stretches[-1][1] = i
-        else:
-            stretches.append([i, i])
-    best = max(stretches, key=lambda s: (int(sizes[s[0] : s[1] + 1].sum()), -s[0]))
-    kept = [s for s in stretches if s is best or any(inside for _, inside in lines[s[0] : s[1] + 1])]
-    return "\n\n".join(line for s in kept for line, _ in lines[s[0] : s[1] + 1] if line)
+    inside = np.array([x for _, _, x in lines], bool)
+    if sizes[inside].sum() >= HINT * sizes.sum():
+        kept = [line for line, _, x in lines if x and line]
+    else:
+        kept = [line for a, z in stretches(sizes, block, surge) for line, _, _ in lines[a:z] if line]
+    return "\n\n".join(kept)
 
 
 def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
