@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, key_of, materialise, sum_of, table
+from .common import bounded, fresh, key_of, materialise, sum_of, table, tidy
 from .quality_rules import recount
 
 MIN_CHARS = 40
@@ -186,7 +186,8 @@ def kept_lines(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
 def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """key, sum, bitmap: the compressed keep bitmap of each text that loses lines. key and sum are those of keyed()."""
     spark = docs.sparkSession
-    rows = docs.select(key_of(id_column).alias("doc"), sum_of(text_column), text_column).mapInArrow(_lines(min_chars), LINE_SCHEMA)
+    # Written first: dealing out by range looks at the rows twice, and texts are to be cut once.
+    rows = materialise(docs.select(key_of(id_column).alias("doc"), sum_of(text_column), text_column).mapInArrow(tidy(_lines(min_chars)), LINE_SCHEMA), "line-hashes")
     order = [F.col("high"), F.col("low"), F.col("doc").desc()]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     decided = materialise(dealt.mapInArrow(_decide(min_docs), DECIDED_SCHEMA), "lines")
