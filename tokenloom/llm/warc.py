@@ -26,11 +26,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, key_of, materialise, new_path, table
+from .common import NULL_ID, key_of, materialise, new_path, table, tidy
 
 MIN_REVISIT_BYTES = 100
 FILE_BYTES = 256 << 20
 CHUNK_BYTES = 1 << 20
+#: Reading tasks, at most; beyond that a task reads several files.
+MOST_READERS = 100_000
 
 INDEX_SCHEMA = "path string, records long, bytes long"
 CHUNK_SCHEMA = "path string, record_id string, chunk_no long, data binary, warc_type string, target_uri string, refers_to string, stated_digest string, stated_bytes long, bytes_so_far long, digest string, is_last boolean"
@@ -192,7 +194,9 @@ def read_warc(index: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data: bool
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return index.select("path").repartition("path").mapInArrow(run, CHUNK_SCHEMA)
+    files = index.select("path")
+    # A task for each file: by its size alone the index would be one partition.
+    return files.repartition(max(1, min(files.count(), MOST_READERS))).mapInArrow(tidy(run), CHUNK_SCHEMA)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
