@@ -134,6 +134,23 @@ def test_licences(spark, folder):
     assert {x[0] for x in found} <= {100, 101, 102, 103, 106}
 
 
+def test_licences_held_out(spark, folder):
+    """A wording that training does not see is still given to its family, or to none, and the corpus's own lines to none."""
+    rng = random.Random(17)
+    corpus = [prose(rng, 25) for _ in range(400)]
+    texts, labels, made_from = licenses._training_texts(corpus[:300])
+    held = licenses.held_out(labels, made_from)
+    assert not {t for t, h in zip(made_from, held, strict=True) if h and t >= 0} & {t for t, h in zip(made_from, held, strict=True) if not h and t >= 0}
+    model = licenses.fit_texts(spark, *([x for x, h in zip(rows, held, strict=True) if not h] for rows in (texts, labels, made_from)))
+    tried = [(i, x, k) for i, (x, k, h) in enumerate(zip(texts, labels, held, strict=True)) if h and k < len(licenses.FAMILIES) - 1]
+    docs = spark.createDataFrame([(i, x) for i, x, _ in tried] + [(100_000 + i, x) for i, x in enumerate(corpus[300:])], "doc_id long, text string")
+    said = {r.doc_id: r.family for r in licenses.scan(docs, model).collect()}
+    right = sum(said.get(i) == licenses.FAMILIES[k] for i, _, k in tried)
+    wrong = sum(said.get(i, licenses.FAMILIES[k]) != licenses.FAMILIES[k] for i, _, k in tried)
+    assert not any(i >= 100_000 for i in said)
+    assert right >= 0.5 * len(tried) and wrong <= 0.2 * len(tried), (right, wrong, len(tried))
+
+
 def test_licences_of_nothing(spark, folder):
     assert licenses.op4(spark, folder([])).count() == 0
 

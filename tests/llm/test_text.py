@@ -151,6 +151,9 @@ def test_copies_change_no_term(spark, table_of):
 def test_sanitise(spark, table_of):
     out = pii.sanitise(table_of([(1, "mail a.b@c.de now"), (2, None)])).collect()
     assert {r.doc_id: r.text for r in out} == {1: "mail [EMAIL] now", 2: ""}
+    rows = [(None, "to a.b@c.de"), (None, "plain"), (None, "plain"), (3, "+1 202 555 0143"), (3, None)]
+    out = pii.sanitise(table_of(rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "plain"), (0, "plain"), (0, "to [EMAIL]"), (3, ""), (3, "[PHONE]")]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,8 +56,10 @@ def sum_of(text_column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="tokenloom-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -112,6 +115,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYT
             at = end
 
 
+def chosen(chance: float, *columns: str, salt: int = 0) -> Column:
+    """Whether a row is in a sample of this share, by 53 bits of its columns' hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), *columns), 11).cast("double") < min(1.0, chance) * 2.0**53
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """A column name that df does not use in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -28,13 +28,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, materialise, table
+from .common import chosen, id_of, key_of, materialise, table
 
 BUCKETS = 1 << 13
 NEGATIVES = 2_000
 CONFIDENCE = 0.5
 SIMILARITY = 0.75
-COPIES = 40
+COPIES, FEW_COPIES = 40, 6
 STEPS = 300
 SPARSITY = 2e-5
 
@@ -95,6 +95,24 @@ TEMPLATES = {
     ],
     "proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."],
 }
+# The names by which notices call the licences.
+NAMES = {
+    "MIT": ["MIT License", "MIT license (MIT)", "X11 MIT license"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache-2.0 license"],
+    "GPL": ["GNU General Public License v3.0", "GNU GPL version 2", "GPLv3", "GPL-2.0 license"],
+    "LGPL": ["GNU Lesser General Public License v3.0", "GNU LGPL version 2.1", "LGPL-3.0 license"],
+    "AGPL": ["GNU Affero General Public License v3.0", "GNU AGPL version 3", "AGPL-3.0 license"],
+    "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "modified BSD license"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0 license"],
+    "CC-BY": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC-BY-4.0 license"],
+    "CC-BY-SA": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC-BY-SA-4.0 license"],
+    "CC-BY-NC": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC-BY-NC-4.0 license"],
+    "CC0": ["Creative Commons CC0 1.0 Universal public domain dedication", "CC0 1.0", "CC0-1.0 license"],
+}
+#: With each name, a wording that training and template comparison know.
+WORDINGS = ["Licensed under the {}.", "Distributed under the terms of the {}.", "Released under {}, see LICENSE.", "License: {}"]
+for _family, _names in NAMES.items():
+    TEMPLATES[_family] = TEMPLATES[_family] + [w.format(n) for n in _names for w in WORDINGS]
 #: Words too common to tell of a licence by themselves; they stay in n-grams, but a paragraph needs another word of the vocabulary.
 COMMON = "a an and are as at be by can for found free from in is it not of on or see that the this to use via with work you".split()
 
@@ -139,13 +157,16 @@ def paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return lines.where(F.arrays_overlap(F.transform(words, lambda w: F.rtrim(w, F.lit("."))), F.array(*map(F.lit, CUES))) | F.col("body").rlike(r"(?i)\b(?:gpl|mpl|lgpl|agpl|apache|spdx)\b"))
 
 
-def _training_texts(corpus: list[str], seed: int = 5) -> tuple[list[str], list[int]]:
+def _training_texts(corpus: list[str], seed: int = 5) -> tuple[list[str], list[int], list[int]]:
+    """Texts, their families, and the template that each was made from: -1 for those of no family."""
     rng = random.Random(seed)
     filler = [w for x in corpus for w in x.split()] or ["text"]
-    texts, labels = [], []
+    texts, labels, made_from = [], [], []
+    worded = {w.format(n) for x in NAMES.values() for n in x for w in WORDINGS}
+    numbers = {t: n for n, t in enumerate(t for f in FAMILIES[:-1] for t in TEMPLATES[f])}
     for k, family in enumerate(FAMILIES[:-1]):
         for template in TEMPLATES[family]:
-            for i in range(COPIES):
+            for i in range(COPIES if template not in worded else FEW_COPIES):
                 words = template.split()
                 drop = 0 if i < 4 else rng.choice([0, 0.05, 0.1])
                 words = [w for w in words if rng.random() >= drop]
@@ -153,14 +174,19 @@ def _training_texts(corpus: list[str], seed: int = 5) -> tuple[list[str], list[i
                     words = rng.sample(filler, min(len(filler), rng.randrange(6))) + words + rng.sample(filler, min(len(filler), rng.randrange(12)))
                 texts.append(" ".join(words))
                 labels.append(k)
+                made_from.append(numbers[template])
     every = [w for x in TEMPLATES.values() for t in x for w in t.split()]
-    for text in corpus:
-        texts.append(text)
-        labels.append(len(FAMILIES) - 1)
-    for _ in range(COPIES * 25):  # template words without their order, among others
-        texts.append(" ".join(rng.sample(every, rng.randrange(1, 6)) + rng.sample(filler, min(len(filler), rng.randrange(10)))))
-        labels.append(len(FAMILIES) - 1)
-    return texts, labels
+    others = corpus + [" ".join(rng.sample(every, rng.randrange(1, 6)) + rng.sample(filler, min(len(filler), rng.randrange(10)))) for _ in range(COPIES * 25)]  # template words without their order, among others
+    return texts + others, labels + [len(FAMILIES) - 1] * len(others), made_from + [-1] * len(others)
+
+
+def held_out(labels: list[int], made_from: list[int]) -> np.ndarray:
+    """Rows for the temperature: all of the last template of each family that has several, and a fifth of those of no family."""
+    of = {}
+    for k, t in zip(labels, made_from, strict=True):
+        of.setdefault(k, set()).add(t)
+    last = {max(x) for k, x in of.items() if len(x) > 1}
+    return np.array([t in last if t >= 0 else i % 5 == 0 for i, t in enumerate(made_from)], bool)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -168,28 +194,33 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[list[int]], labels: list[int], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights (buckets by families), constants and the temperature."""
+def _weights(x: np.ndarray, y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse logistic regression by proximal steps; each family has the same say."""
+    price = (y @ (1 / np.maximum(y.mean(axis=0), np.float32(1e-6))))[:, None]
+    price /= price.sum()
+    w, c = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    rate = 20.0
+    for _ in range(steps):
+        e = ((_softmax(x @ w + c) - y) * price).astype(np.float32)
+        w -= rate * (x.T @ e)
+        w = np.sign(w) * np.maximum(np.abs(w) - np.float32(rate * SPARSITY), 0)
+        c -= np.float32(rate * 0.1) * e.sum(axis=0)
+    return w, c
+
+
+def fit(rows: list[list[int]], labels: list[int], made_from: list[int], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights (buckets by families), constants and the temperature. The temperature is that of a fit without some wordings, on these."""
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, r] = 1 / np.sqrt(max(1, len(r)))
     y = np.eye(len(FAMILIES), dtype=np.float32)[labels]
     used = np.flatnonzero(x.any(axis=0))
-    x, held = x[:, used], np.arange(len(rows)) % 5 == 0
-    share = y[~held].mean(axis=0)
-    cost = (y @ (1 / np.maximum(share, np.float32(1e-6))))[:, None] / len(FAMILIES)
-    cost /= cost[~held].sum()
-    seen, told, price = x[~held], y[~held], cost[~held]
-    w, c = np.zeros((len(used), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
-    rate = 20.0
-    for _ in range(steps):
-        e = ((_softmax(seen @ w + c) - told) * price).astype(np.float32)
-        w -= rate * (seen.T @ e)
-        w = np.sign(w) * np.maximum(np.abs(w) - np.float32(rate * SPARSITY), 0)
-        c -= np.float32(rate * 0.1) * e.sum(axis=0)
+    x, held = x[:, used], held_out(labels, made_from)
+    w, c = _weights(x[~held], y[~held], steps)
     z = x[held] @ w + c
     loss = lambda t: -np.log(np.maximum((_softmax(z * t) * y[held]).sum(axis=1), 1e-12)).mean()
     warmth = min(np.linspace(0.2, 3, 57), key=loss)
+    w, c = _weights(x, y, steps)
     out = np.zeros((BUCKETS, len(FAMILIES)))
     out[used] = w
     return out, c.astype(float), float(warmth)
@@ -199,16 +230,19 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """Fit on templates and on a bounded sample of the corpus's paragraphs that hold no cue phrase."""
     spark = docs.sparkSession
     chance = min(1.0, 4 * NEGATIVES / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(F.lit(3), id_column, text_column), F.lit(10**6)) < int(chance * 10**6))
+    some = docs.where(chosen(chance, id_column, text_column, salt=3))
     line = F.explode(F.slice(F.split(F.coalesce(F.col(text_column), F.lit("")), "\n", -1), 1, 3))
     corpus = some.select(line.alias("body")).select(F.substring("body", 1, 400).alias("body")).where(~F.col("body").rlike(r"(?i)licen[cs]|copyright|rights reserved|spdx") & (F.length("body") > 0))
     corpus = [r.body for r in corpus.orderBy(F.xxhash64("body"), "body").limit(NEGATIVES).collect()]
-    texts, labels = _training_texts(corpus)
-    made = spark.createDataFrame(list(zip(texts, labels, strict=True)), "body string, label int").select(marked(words_of(F.col("body"))).alias("m"), "label").select(features("m").alias("f"), "label").collect()
-    made.sort(key=lambda r: (r.label, sorted(r.f)))
-    rng = random.Random(1)
-    rng.shuffle(made)
-    return fit([r.f for r in made], [r.label for r in made])
+    return fit_texts(spark, *_training_texts(corpus))
+
+
+def fit_texts(spark: SparkSession, texts: list[str], labels: list[int], made_from: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
+    made = spark.createDataFrame(list(zip(texts, labels, made_from, strict=True)), "body string, label int, template int").select(marked(words_of(F.col("body"))).alias("m"), "label", "template")
+    made = made.select(features("m").alias("f"), "label", "template").collect()  # the training texts
+    made.sort(key=lambda r: (r.label, r.template, sorted(r.f)))
+    random.Random(1).shuffle(made)
+    return fit([r.f for r in made], [r.label for r in made], [r.template for r in made])
 
 
 def scan(docs: DataFrame, model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -199,7 +199,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, text_column: str = "text"
 
 
 def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """A row for each document: key, the counts and digest of the base spans, and terms: an array of (start, end, general)."""
+    """A row for each document: key, text_id, the counts and digest of the base spans, and terms: an array of (start, end, general)."""
     base = materialise(find_base(docs, id_column, text_column), "pii-base")
     terms = materialise(disclosing_terms(docs, base, text_column, **options), "pii-terms")
     texts = base.where("text is not null").select("row", "base", "text")
@@ -217,7 +217,7 @@ def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["row", "terms"])
 
     added = texts.join(told, "row").select("row", "base", "text", "told").mapInArrow(run, "row long, terms array<struct<start:int,end:int,general:boolean>>")
-    return base.drop("text", "text_id").join(added, "row", "left")
+    return base.drop("text").join(added, "row", "left")
 
 
 def all_spans(base: str | None, terms) -> list[tuple[str, int, int]]:
@@ -252,9 +252,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """id and text, with what find_spans() finds taken out. Ids are taken to be distinct here."""
-    found = find_spans(docs, id_column, text_column, **options).select("key", "base", "terms")
-    rows = docs.select(key_of(id_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(found.hint("shuffle_hash"), "key")
+    """id and text of every row, with what find_spans() finds taken out. Rows that share an id, or have none, keep their own texts."""
+    found = find_spans(docs, id_column, text_column, **options).select("key", "text_id", "base", "terms").dropDuplicates(["key", "text_id"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [text_id(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], ["key", "text", "text_id"])
+
+    rows = docs.select(key_of(id_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).mapInArrow(named, "key long, text string, text_id long")
+    rows = rows.join(found.hint("shuffle_hash"), ["key", "text_id"]).select("key", "text", "base", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import chosen, table
 from .quality_rules import SEPARATOR, SYMBOLS, count_repeated
 
 SAMPLE = 6_000
@@ -171,8 +171,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         return None, {}
     share, table_, posterior = fit_accuracies(patterns)
     accuracy = {name: float(share * table_[j, 1, 1] + (1 - share) * table_[j, 0, 2]) for j, name in enumerate(LABELLERS)}
-    chance = min(1.0, sample / total)
-    pick = F.abs(F.xxhash64(F.lit(11), id_column, text_column) % 1_000_000) < int(chance * 1_000_000) + (chance >= 1)
+    pick = chosen(sample / total, id_column, text_column, salt=11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()

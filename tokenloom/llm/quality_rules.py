@@ -32,7 +32,10 @@ SEPARATOR = re.compile(r"[|»›·•>]")
 BOILERPLATE = re.compile(
     r"\b(?:accept (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved"
     r"|enable javascript|javascript is disabled|sign in|log in|sign up|subscribe to|click here|read more|share (?:this|on)"
-    r"|back to top|skip to content|lorem ipsum)\b",
+    r"|back to top|skip to content|lorem ipsum"
+    r"|accepter (?:tous )?les cookies|politique de confidentialité|mentions légales|tous droits réservés|se connecter|cliquez ici|lire la suite|haut de page"
+    r"|cookies akzeptieren|datenschutzerklärung|alle rechte vorbehalten|hier klicken|weiterlesen|zum seitenanfang"
+    r"|aceptar (?:todas )?las cookies|política de privacidad|todos los derechos reservados|iniciar sesión|haga clic aquí|leer más|volver arriba)\b",
     re.I,
 )
 LETTER = re.compile(r"[^\W\d_]")
