@@ -64,6 +64,22 @@ def test_positions_prefixes_contexts(some):
         assert {(r.binary, r.pos): (r.context, r.token) for r in structure.contexts(df, n).collect()} == expected
 
 
+def test_no_function_is_lost_or_doubled(spark):
+    """Functions without an id, with one id, equal ones, and one of a null binary; ids that lie in several spans."""
+    rows = [("x", None, None, ["n"]), ("x", None, 1, ["a", "b"]), ("x", None, 1, ["a", "b"]), ("x", None, 1, ["c"]), ("x", None, 9000, ["d"] * 3), ("x", None, 9001, ["e"]), ("x", None, 40000, ["f"]), (None, None, 5, ["g", "h"]), ("y", None, None, ["i"]), ("y", None, None, ["i"])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for got in (corpus.with_offset(df), corpus.with_following(df, 3), corpus.with_preceding(df, 3)):
+        assert Counter((r.binary, r.func, tuple(r.ops)) for r in got.collect()) == Counter((b, f, tuple(o)) for b, _, f, o in rows)
+    assert sorted((r.binary or "", r.pos) for r in corpus.positions(df).select("binary", "pos").collect()) == sorted([("x", i) for i in range(11)] + [("", 0), ("", 1), ("y", 0), ("y", 1)])
+    followed = {(r.func, tuple(r.ops)): r.following for r in corpus.with_following(df, 3).where("binary = 'x' and func > 1").collect()}
+    assert followed == {(9000, ("d",) * 3): ["e", "f"], (9001, ("e",)): ["f"], (40000, ("f",)): []}
+    counts = {(r.binary, r.n): r.t for r in frequency.ngram_counts(df, [1, 2, 3]).groupBy("binary", "n").agg(F.sum("count").alias("t")).collect()}
+    assert counts == {("x", 1): 11, ("x", 2): 10, ("x", 3): 9, (None, 1): 2, (None, 2): 1, ("y", 1): 2, ("y", 2): 1}
+    hashed = {(r.binary, r.n, r["count"]): r.c for r in frequency.ngram_frequencies(df, [1, 2, 3]).groupBy("binary", "n", "count").agg(F.count("*").alias("c")).collect()}
+    named = {(r.binary, r.n, r["count"]): r.c for r in frequency.ngram_counts(df, [1, 2, 3]).groupBy("binary", "n", "count").agg(F.count("*").alias("c")).collect()}
+    assert hashed == named
+
+
 def test_mutual_information(some):
     df, rows = some
     for r in information.mutual_information(df, 7).collect():
@@ -176,7 +192,7 @@ def test_families(spark):
     a, b = "a b c d e f g h i j k l".split(), "a b c d e f x h i j k l".split()
     functions = spark.createDataFrame([("x", None, 1, a), ("y", None, 2, a), ("y", None, 3, b)], SCHEMA)
     pairs = spark.createDataFrame([(1, 2, 1.0, 1.0), (1, 3, 0.6, 0.85)], "id1 long, id2 long, jaccard double, alignment double").withColumn("clone_type", clones.clone_type(F.col("jaccard"), F.col("alignment")))
-    assert [r.clone_type for r in pairs.orderBy("id2").collect()] == [1, 2]
+    assert [r.clone_type for r in pairs.orderBy("id2").collect()] == [1, 3]
     (f,) = clones.families(pairs, clones.components(pairs), functions).collect()
     assert f.members == [1, 2, 3] and f.is_cross_binary and f.conserved_core == [x for x in a if x != "g"] and math.isclose(f.divergence_score, 1 / 12)
 

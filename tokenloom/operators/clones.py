@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -39,11 +41,24 @@ def shingle_hash(s: Column) -> Column:
 
 
 def signatures(sets: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
-    """binary, func, perm, value: a function's least hash under each permutation."""
+    """binary, func, sig: a function's least hash under each permutation. The products of a function's hashes and the permutations are one Arrow kernel: 62 bits each."""
     hashed = sets.select("binary", "func", F.transform("shingles", shingle_hash).alias("h"))
-    least = lambda a, b: F.array_min(F.transform("h", lambda h: (h * a + b) % PRIME))
-    values = F.array(*(least(a, b) for a, b in constants(permutations)))
-    return hashed.select("binary", "func", F.posexplode(values).alias("perm", "value"))
+    a, b = (np.array(x, np.int64) for x in zip(*constants(permutations), strict=True))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for h in batch.column(2):
+                h = h.values.to_numpy()
+                least = np.full(permutations, PRIME, np.int64)
+                for i in range(0, len(h), 8192):
+                    least = np.minimum(least, ((h[i : i + 8192, None] * a + b) % PRIME).min(axis=0))
+                out.append(least)
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["binary", "func", "sig"])
+            # not a filter of the plan: Spark would push it below the hashes and make these once for each n-gram
+            yield rows.filter(pa.array([len(h) > 0 for h in batch.column(2)], pa.bool_()))
+
+    return hashed.mapInArrow(run, "binary string, func long, sig array<long>")
 
 
 def band_shape(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:
@@ -65,7 +80,7 @@ def candidates(signed: DataFrame, threshold: float, permutations: int = PERMUTAT
     copies do not multiply the pairs. A pair is a representative and a member.
     """
     b, r = band_shape(threshold, permutations)
-    whole = signed.groupBy("func").agg(F.array_sort(F.collect_list(F.struct("perm", "value"))).value.alias("sig"))
+    whole = signed.select("func", "sig")
     groups = whole.groupBy("sig").agg(F.min("func").alias("head"))
     bands = groups.select("head", "sig", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.md5(F.array_join(F.slice("sig", i * r + 1, r).cast("array<string>"), ",")).alias("h")) for i in range(b)))).alias("e"))
     near = bands.select("head", "e.*")
@@ -84,6 +99,20 @@ def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("jaccard", F.size(F.array_intersect("s1", "s2")) / F.size(F.array_union("s1", "s2"))).drop("s1", "s2")
 
 
+def best_pairs(functions: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), thresholds: tuple[float, ...] = (0.7, 0.9), permutations: int = PERMUTATIONS) -> DataFrame:
+    """id1, id2, jaccard: the candidates of all shingle sizes and thresholds, each with its best similarity over the sizes."""
+    every = None
+    for k in sizes:
+        sets = shingled(functions, k)
+        signed = written(signatures(sets, permutations), "signatures")
+        found = candidates(signed, thresholds[0], permutations)
+        for t in thresholds[1:]:
+            found = found.union(candidates(signed, t, permutations))
+        found = jaccard(found.select("id1", "id2").distinct(), sets)
+        every = found if every is None else every.union(found)
+    return every.groupBy("id1", "id2").agg(F.max("jaccard").alias("jaccard"))
+
+
 def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> int:
     """Smith-Waterman's best local score. A row at a time: the chain of gaps to the left is a running maximum."""
     if not len(a) or not len(b):
@@ -119,35 +148,38 @@ def common_core(a: list, b: list) -> list:
     return out[::-1]
 
 
-def aligned(pairs: DataFrame, functions: DataFrame, cap: int = 2000) -> DataFrame:
-    """Adds alignment: the score over twice the shorter length, 1 at most. Functions below five opcodes give no row; beyond cap opcodes, the first cap are aligned (a documented bound on the quadratic step)."""
-    ops = functions.where(F.size("ops") >= 5).select("func", F.slice("ops", 1, cap).alias("o"))
+def aligned(pairs: DataFrame, functions: DataFrame) -> DataFrame:
+    """Adds alignment: the score over twice the shorter length, 1 at most, of whole sequences. Functions below five opcodes give no row. A row of the table is held at a time; equal sequences need none."""
+    ops = functions.where(F.size("ops") >= 5).select("func", F.col("ops").alias("o"))
     both = pairs.join(ops.toDF("id1", "o1"), "id1").join(ops.toDF("id2", "o2"), "id2").select("id1", "id2", "jaccard", "o1", "o2")
+    same = both.where("o1 = o2").select("id1", "id2", "jaccard", F.lit(1.0).alias("alignment"))
 
     def run(batches):
         for batch in batches:
             scores = []
-            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+                x, y = x.as_py(), y.as_py()
                 code = {w: i for i, w in enumerate({*x, *y})}
                 raw = align(np.array([code[w] for w in x]), np.array([code[w] for w in y]))
                 scores.append(min(1.0, raw / (2 * min(len(x), len(y)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.float64())], ["id1", "id2", "jaccard", "alignment"])
 
-    return both.mapInArrow(run, "id1 long, id2 long, jaccard double, alignment double")
+    return same.union(both.where("o1 <> o2").mapInArrow(run, "id1 long, id2 long, jaccard double, alignment double"))
 
 
 def clone_type(j: Column, s: Column) -> Column:
-    """0 none; 1 exact, 2 renamed, 3 gapped; one type weaker where the two measures differ by more than 0.3."""
-    base = F.when((j < 0.5) | (s < 0.3), 0).when(s >= 0.95, 1).when(s >= 0.7, 2).otherwise(3)
+    """0 none; by Jaccard 1 exact, 2 renamed, 3 gapped, if the alignment confirms a clone; one type weaker where the two measures differ by more than 0.3."""
+    base = F.when((j < 0.5) | (s < 0.3), 0).when(j >= 0.95, 1).when(j >= 0.7, 2).otherwise(3)
     return F.when(base == 0, 0).when(F.abs(j - s) > 0.3, F.least(base + 1, F.lit(3))).otherwise(base)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp()
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -171,33 +203,36 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
-def families(pairs: DataFrame, parts: DataFrame, functions: DataFrame, cap: int = 200, members_read: int = 64) -> DataFrame:
+def families(pairs: DataFrame, parts: DataFrame, functions: DataFrame, cap: int = 200) -> DataFrame:
     """A row for each component of two functions or more: its members, type, binaries, conserved core and divergence.
 
     The core is a fold of longest common subsequences over the first cap opcodes of
-    the members in order; once it is empty, or members_read of them are folded, the
-    rest are not read. Members are listed by id; sequences do not meet in one row.
+    all members in order. A beginning that an earlier member has changes nothing and
+    is left out; the others are streamed in order, so a task holds one core and one member.
     """
     sizes = functions.select(F.col("func").alias("node"), "binary", F.size("ops").alias("n"))
     types = pairs.join(parts.withColumnRenamed("node", "id1"), "id1").groupBy("component", "clone_type").agg(F.count("*").alias("c"))
     dominant = types.groupBy("component").agg(F.max_by("clone_type", F.struct("c", (-F.col("clone_type")).alias("t"))).alias("clone_type"))
     named = parts.join(sizes, "node")
     rows = named.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("members"), F.sort_array(F.collect_set("binary")).alias("binary_names"), F.count("*").alias("size"), F.avg("n").alias("mean_len")).where("size >= 2")
-    from pyspark.sql import Window
-
-    first = parts.withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy("node"))).where(F.col("r") <= members_read)
-    heads = first.join(functions.select(F.col("func").alias("node"), F.slice("ops", 1, cap).alias("o")), "node")
+    heads = parts.join(functions.select(F.col("func").alias("node"), F.slice("ops", 1, cap).alias("o")), "node").groupBy("component", "o").agg(F.min("node").alias("node"))
+    heads = heads.repartition("component").sortWithinPartitions("component", "node").select("component", "o")
 
-    def fold(part: pa.Table) -> pa.Table:
-        part = part.sort_by("r")
-        core = None
-        for o in part.column("o").to_pylist():
-            core = o if core is None else common_core(core, o)
-            if not core:
-                break
-        return pa.table([part.column("component")[:1], pa.array([core or []], pa.list_(pa.string()))], names=["component", "conserved_core"])
-
-    cores = heads.select("component", "r", "o").groupBy("component").applyInArrow(fold, "component long, conserved_core array<string>")
+    def fold(batches):
+        names, now, core = ["component", "conserved_core"], None, None
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([core], pa.list_(pa.string()))], names)
+        for batch in batches:
+            for component, o in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if component != now:
+                    if core is not None:
+                        yield told()
+                    now, core = component, o.as_py()
+                elif core:
+                    core = common_core(core, o.as_py())
+        if core is not None:
+            yield told()
+
+    cores = heads.mapInArrow(fold, "component long, conserved_core array<string>")
     out = rows.join(dominant, "component", "left").join(cores, "component", "left")
     divergence = F.least(F.greatest(1 - F.size("conserved_core") / F.col("mean_len"), F.lit(0.0)), F.lit(1.0))
     return out.select(F.col("component").alias("family"), "members", F.coalesce("clone_type", F.lit(3)).alias("clone_type"), "binary_names", (F.size("binary_names") > 1).alias("is_cross_binary"), "size", "conserved_core", divergence.alias("divergence_score"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entropy, ngrams
-from ..sources.corpus import token_rows, with_following
+from ..sources.corpus import ends_with_following, token_rows
 
 
 def opcode_frequency(functions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -143,15 +143,45 @@ def ols_bootstrap_rounds(ranks: DataFrame, rounds: int = 200, seed: int = 42) ->
     return (*np.percentile(fits, [2.5, 97.5]), rows[0].n) if len(fits) else (0.0, 0.0, rows[0].n)
 
 
+def ngram_starts(functions: DataFrame, most: int) -> DataFrame:
+    """binary, o1..o_most: a row for each opcode, with those after it in the binary's whole sequence; null beyond its end.
+
+    Rows that lie within a function are narrow; those that run on into the next ones
+    come from the functions' ends, so no sequence is shuffled.
+    """
+    names = [f"o{i}" for i in range(1, most + 1)]
+
+    def rows(line: str, n: Column) -> DataFrame:
+        """Shifted copies of an array, side by side: the first n places."""
+        shifted = F.arrays_zip(*(F.slice(line, i, F.greatest(n, F.lit(0))).alias(f"o{i}") for i in range(1, most + 1)))
+        return F.inline(shifted)
+
+    inner = functions.where(F.size("ops") >= most).select("binary", rows("ops", F.size("ops") - (most - 1)))
+    if most == 1:
+        return inner.toDF("binary", *names)
+    ends = ends_with_following(functions, most - 1).select("binary", F.concat("tail", "following").alias("line"), F.size("tail").alias("own"))
+    return inner.toDF("binary", *names).union(ends.select("binary", rows("line", F.col("own"))).toDF("binary", *names))
+
+
+def _grams(functions: DataFrame, sizes: range | list[int], form) -> DataFrame:
+    """binary, n and what form makes of the n columns of each n-gram."""
+    starts = ngram_starts(functions, max(sizes))
+    each = [F.when(F.col(f"o{n}").isNotNull(), F.struct(F.lit(n).alias("n"), *form([f"o{i}" for i in range(1, n + 1)]))) for n in sizes]
+    return starts.select("binary", F.explode(F.array(*each)).alias("e")).where("e is not null").select("binary", "e.*")
+
+
 def ngram_counts(functions: DataFrame, sizes: range | list[int], by: tuple[str, ...] = ("binary",)) -> DataFrame:
     """[by], n, ngram, count over the binaries' whole sequences: n-grams run on across functions. All n in one pass."""
-    most = max(sizes)
-    rows = with_following(functions, most - 1).withColumn("own", F.size("ops")).withColumn("line", F.concat("ops", "following"))
-    each = F.array(*(F.struct(F.lit(n).alias("n"), ngrams("line", n, F.col("own")).alias("g")) for n in sizes))
-    grams = rows.select("binary", F.explode(each).alias("e")).select("binary", "e.n", F.explode("e.g").alias("ngram"))
+    grams = _grams(functions, sizes, lambda c: [F.concat_ws(" ", *c).alias("ngram")])
     return grams.groupBy(*by, "n", "ngram").agg(F.count("*").alias("count"))
 
 
+def ngram_frequencies(functions: DataFrame, sizes: range | list[int], by: tuple[str, ...] = ("binary",)) -> DataFrame:
+    """[by], n, count: as ngram_counts, without the n-grams. They are told apart by 128 bits, so no strings are moved."""
+    grams = _grams(functions, sizes, lambda c: [F.xxhash64(*c).alias("h1"), F.xxhash64(F.lit(len(c)), *reversed(c)).alias("h2")])
+    return grams.groupBy(*by, "n", "h1", "h2").agg(F.count("*").alias("count"))
+
+
 def entropy_rates(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """[by], n, entropy, entropy_rate, conditional_entropy, unique_ngrams, total_ngrams, max_entropy (of the opcodes), normalized_entropy."""
     h = counts.groupBy(*by, "n").agg(entropy().alias("entropy"), F.count("*").alias("unique_ngrams"), F.sum("count").alias("total_ngrams"))

@@ -127,12 +127,12 @@ def _rounded(df, by=()):
 
 @query("d07_entropy_rate", GRAMS + ", c AS (SELECT n, ngram, count(*) AS c FROM g GROUP BY 1, 2), e AS (" + RATES.replace("{by}", "") + ") SELECT " + RATE_COLUMNS.replace("{p}", "1") + " FROM e")
 def d07(spark, d):
-    return _rounded(op.entropy_rates(op.ngram_counts(document_functions(spark, d), range(1, 6), ())))
+    return _rounded(op.entropy_rates(op.ngram_frequencies(document_functions(spark, d), range(1, 6), ())))
 
 
 @query("d09_entropy_rate_per_binary", GRAMS + ", c AS (SELECT binary, n, ngram, count(*) AS c FROM g GROUP BY 1, 2, 3), e AS (" + RATES.replace("{by}", "binary,") + ") SELECT binary, " + RATE_COLUMNS.replace("{p}", "binary") + " FROM e WHERE binary IN (SELECT binary FROM e WHERE n = 1 AND u > 1)")
 def d09(spark, d):
-    rates = op.entropy_rates(op.ngram_counts(document_functions(spark, d), range(1, 6)), ("binary",))
+    rates = op.entropy_rates(op.ngram_frequencies(document_functions(spark, d), range(1, 6)), ("binary",))
     return _rounded(rates.where("max_entropy > 0"))
 
 
@@ -148,7 +148,7 @@ EVENT_GRAMS = """ (SELECT binary, 1 AS n, opcode AS ngram FROM {t} UNION ALL SEL
 def d10(spark, d):
     functions = event_functions(spark, d)
     mixed = op.as_functions(op.shuffled(positions(functions)))
-    rates = lambda f, name: op.entropy_rates(op.ngram_counts(f, range(1, 4), ())).select("n", F.col("entropy").alias(name))
+    rates = lambda f, name: op.entropy_rates(op.ngram_frequencies(f, range(1, 4), ())).select("n", F.col("entropy").alias(name))
     return _rounded(rates(functions, "real_entropy").join(rates(mixed, "shuffled_entropy"), "n").withColumn("entropy_gain", F.col("real_entropy") - F.col("shuffled_entropy")))
 
 
@@ -167,7 +167,7 @@ def d05(spark, d):
  SELECT round(r5, 6) AS final_rate, round(r5 / x, 6) AS predictability_ratio, CASE WHEN r5 / x < 0.1 THEN 'Highly predictable' WHEN r5 / x < 0.3 THEN 'Predictable' WHEN r5 / x < 0.6 THEN 'Moderate' WHEN r5 / x < 0.8 THEN 'Weak' ELSE 'Random-like' END AS label,
         best_n, round((r2 - r5) / r2, 6) AS decay_rate FROM s, m""")
 def d11(spark, d):
-    e = op.entropy_rates(op.ngram_counts(document_functions(spark, d), range(1, 6), ()))
+    e = op.entropy_rates(op.ngram_frequencies(document_functions(spark, d), range(1, 6), ()))
     at = lambda n: F.max(F.when(F.col("n") == n, F.col("entropy_rate")))
     s = e.agg(at(5).alias("r5"), at(2).alias("r2"), F.max("max_entropy").alias("x"), F.min_by("n", F.when(F.col("n") >= 2, F.col("entropy_rate"))).alias("best_n"))
     ratio = F.col("r5") / F.col("x")

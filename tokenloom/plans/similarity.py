@@ -92,10 +92,16 @@ def f25(spark, d):
     return r.select(F.lit("cosine_2gram").alias("m1"), F.lit("cosine_3gram").alias("m2"), r6(F.col("r")).alias("correlation"), ladder(F.col("r"), [(0.8, "High"), (0.6, "Good"), (0.4, "Moderate")], "Low").alias("label"))
 
 
-@query("e26_best_n", _cosine_sql(2) + "SELECT 2 AS n, round(stddev_pop(1 - similarity) / greatest(avg(1 - similarity), 0.001), 6) AS separation FROM s")
+@query("e26_best_n", _cosine_sql(2) + _numbered(3) + _numbered(4) + """, e AS (SELECT 2 AS n, stddev_pop(1 - similarity) / greatest(avg(1 - similarity), 0.001) AS x FROM s UNION ALL SELECT 3, stddev_pop(1 - similarity) / greatest(avg(1 - similarity), 0.001) FROM s3
+   UNION ALL SELECT 4, stddev_pop(1 - similarity) / greatest(avg(1 - similarity), 0.001) FROM s4) SELECT n, round(x, 6) AS separation FROM e ORDER BY round(x, 6) DESC, n LIMIT 1""")
 def e26(spark, d):
-    s = op.matrix_stats(op.cosine(tf(spark, d, 2)))
-    return s.select(F.lit(2).alias("n"), r6(F.col("std") / F.greatest("mean", F.lit(0.001))).alias("separation"))
+    """The n whose distances spread most, for their mean; the smallest of equal ones."""
+    counts = ngram_counts(document_functions(spark, d), [2, 3, 4])
+    each = None
+    for n in (2, 3, 4):
+        m = op.matrix_stats(op.cosine(op.term_frequencies(counts.where(F.col("n") == n).drop("n")))).select(F.lit(n).alias("n"), r6(F.col("std") / F.greatest("mean", F.lit(0.001))).alias("separation"))
+        each = m if each is None else each.union(m)
+    return each.orderBy(F.desc("separation"), "n").limit(1)
 
 
 @query("e22_silhouette", _cosine_sql(2) + """, b AS (SELECT a, b, 1 - similarity AS dist FROM s UNION ALL SELECT b, a, 1 - similarity FROM s), m AS (SELECT a, split_part(a, '/', 2) AS la, split_part(b, '/', 2) AS lb, avg(dist) AS m FROM b GROUP BY 1, 2, 3),

@@ -152,11 +152,11 @@ def e11b(spark, d):
  b AS (SELECT log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h2 FROM (SELECT count(*) AS c FROM (SELECT opcode, lead(opcode) OVER (PARTITION BY binary ORDER BY pos) AS o2 FROM pos) WHERE o2 IS NOT NULL GROUP BY opcode, o2))
  SELECT 2 AS n, round((SELECT avg(bits) FROM s), 4) AS cross_entropy, round(h2 - h1, 4) AS empirical_conditional_entropy, round((SELECT avg(bits) FROM s) - (h2 - h1), 4) AS gap FROM h, b""")
 def e12(spark, d):
-    from ..operators.frequency import entropy_rates, ngram_counts
+    from ..operators.frequency import entropy_rates, ngram_frequencies
 
     functions = event_functions(spark, d)
     ce = op.language_model(functions, 2).agg((F.sum("bits") / F.sum("tokens")).alias("ce"))
-    empirical = entropy_rates(ngram_counts(functions, [1, 2], ())).where("n = 2").select(F.col("conditional_entropy").alias("h"))
+    empirical = entropy_rates(ngram_frequencies(functions, [1, 2], ())).where("n = 2").select(F.col("conditional_entropy").alias("h"))
     return ce.crossJoin(empirical).select(F.lit(2).alias("n"), F.round("ce", 4).alias("cross_entropy"), F.round("h", 4).alias("empirical_conditional_entropy"), F.round(F.col("ce") - F.col("h"), 4).alias("gap"))
 
 
