@@ -49,7 +49,7 @@ ITEMS = 4096
 #: Words of an item that make one query vector.
 PART = PASSAGE
 COSINE = 0.5
-LCS_SHARE = 0.5
+LCS_SHARE = 0.52
 COVERAGE = 0.45
 #: A term in more than this share of all passages weighs nothing in a vector, but counts in a subsequence.
 STOP_SHARE = 0.05
