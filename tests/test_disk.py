@@ -85,6 +85,18 @@ def test_spectrum_is_that_of_the_ngrams_and_moves_little(spark, corpus):
     assert size < 6 * text
 
 
+def test_top_ngrams_are_those_of_all_counts_and_move_little(spark, corpus):
+    functions, _, text = corpus
+    all = frequency.ngram_counts(functions, [2, 3, 4]).cache()
+    for top, short in ((700, ngram_blocks.COMMON), (700, 300), (5, 0)):
+        best = [(r.n, r.ngram) for n in (2, 3, 4) for r in all.where(F.col("n") == n).groupBy("n", "ngram").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "ngram").limit(top).collect()]
+        size, found = moved(spark, lambda: ngram_blocks.top_ngrams(functions, (2, 3, 4), top, short))
+        assert found == best
+        more, got = moved(spark, lambda: sorted(map(tuple, ngram_blocks.counts_of(functions, found).select("binary", "n", "ngram", "count").collect())))
+        assert got == sorted(map(tuple, all.join(spark.createDataFrame(best, "n int, ngram string"), ["n", "ngram"]).select("binary", "n", "ngram", "count").collect()))
+        assert size + more < 6 * text or short < 1000
+
+
 def test_motifs_in_two_passes(spark, corpus, monkeypatch):
     functions, _, text = corpus
     monkeypatch.setattr(structure, "PART", 100)

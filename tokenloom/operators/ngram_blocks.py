@@ -2,12 +2,13 @@
 
 The n-grams of all sizes that start at one place are one row of word codes. Rows are dealt out by their first two words, so
 one task sees all n-grams of two words or more that begin with these, and counts every size from one sorted block. Codes:
-16 bits for the most frequent words (a bounded vocabulary that is sent to all tasks), 64 bits of MD5 for others. A task
-sorts the rows of its part, counts equal ones and compresses what is left, column by column.
+16 bits for the most frequent words (a bounded vocabulary that is sent to all tasks), for others their place among these and
+47 bits of MD5. A task sorts the rows of its part, counts equal ones and compresses what is left, column by column.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -22,6 +23,8 @@ from ..sources.corpus import ends_with_following
 COMMON, RARE, NONE = 65534, 65534, 65535
 #: Rows that a task packs at once.
 ROWS = 1 << 20
+#: Bits of a rare word's hash; its place among the common ones stands above them.
+HASHED = 47
 
 
 def word_counts(functions: DataFrame, by: Column) -> DataFrame:
@@ -39,15 +42,20 @@ def word_counts(functions: DataFrame, by: Column) -> DataFrame:
     return functions.select(by.alias("by"), "ops").mapInArrow(run, "by string, word string, count long").groupBy("by", "word").agg(F.sum("count").alias("count"))
 
 
-def common_words(counts: DataFrame) -> list[str]:
-    """The most frequent words, COMMON at most."""
-    best = counts.groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON)
+def common_words(counts: DataFrame, most: int = COMMON) -> list[str]:
+    """The most frequent words, most of them at most."""
+    best = counts.groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word").limit(most)
     return [r.word for r in best.select("word").collect()]
 
 
-def code_of(word: str) -> int:
-    """64 bits of a rare word, none of them below the short codes."""
-    return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:8], "little") | 1 << 20
+def code_of(word: str, order: list[str]) -> int:
+    """63 bits of a rare word, none of them below the short codes. order: the common words, ascending."""
+    return bisect.bisect(order, word) + 1 << HASHED | int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:8], "little") >> 64 - HASHED
+
+
+def _codes(words: pa.Array, known: pa.Array, order: list[str]) -> np.ndarray:
+    near = pc.index_in(words, known).to_pylist()
+    return np.array([code_of(w, order) if c is None else c for c, w in zip(near, words.to_pylist(), strict=True)], np.uint64)
 
 
 def lines(functions: DataFrame, most: int, by: Column) -> DataFrame:
@@ -92,6 +100,18 @@ def _unpacked(raw: bytes, size: int, most: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([by.astype(np.uint64)[None], codes.reshape(most, n)]), counts
 
 
+def _each(batch: pa.RecordBatch, coded, most: int, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines: the row of each start, and (most, starts) the codes of the words from there on, none behind the line's end."""
+    words = batch.column(1).flatten().dictionary_encode()
+    code = coded(words.dictionary)
+    length = pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
+    own, ends = np.minimum(batch.column(2).to_numpy(), length), np.cumsum(length)
+    flat = np.concatenate([code[words.indices.to_numpy()] if len(code) else code, np.full(most, none, code.dtype)])
+    line = np.repeat(np.arange(len(own)), own)
+    start = np.arange(len(line)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(ends - length, own)
+    return line, np.array([np.where(start + i < ends[line], flat[start + i], none) for i in range(most)], code.dtype)
+
+
 def blocks(functions: DataFrame, most: int, by: Column, common: list[str], buckets: int) -> DataFrame:
     """bucket, names, size, data: packed rows. names has the groups that a block's first column numbers."""
 
@@ -112,17 +132,9 @@ def blocks(functions: DataFrame, most: int, by: Column, common: list[str], bucke
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1].to_pylist() for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "names", "size", "data"])
 
     def run(batches):
-        known, held, rows = pa.array(common, pa.string()), [], 0
+        known, order, held, rows = pa.array(common, pa.string()), sorted(common), [], 0
         for batch in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
-            words = batch.column(1).flatten().dictionary_encode()
-            near = pc.index_in(words.dictionary, known).to_pylist()
-            code = np.array([code_of(w) if c is None else c for c, w in zip(near, words.dictionary.to_pylist(), strict=True)], np.uint64)
-            length = pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
-            own, ends = np.minimum(batch.column(2).to_numpy(), length), np.cumsum(length)
-            flat = np.concatenate([code[words.indices.to_numpy()] if len(code) else code, np.full(most, NONE, np.uint64)])
-            line = np.repeat(np.arange(len(own)), own)
-            start = np.arange(len(line)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(ends - length, own)
-            each = np.array([np.where(start + i < ends[line], flat[start + i], NONE) for i in range(most)], np.uint64)
+            line, each = _each(batch, lambda words: _codes(words, known, order), most, NONE)
             held.append((batch.column(0).take(pa.array(line)), each))
             rows += len(line)
             if rows >= ROWS:
@@ -190,3 +202,132 @@ def spectrum(functions: DataFrame, most: int, by: str | None = "binary") -> Data
     rest = counted(blocks(functions, most, name, common, buckets), most, told, "by string, n int, count long, times long")
     every = words.groupBy("by", F.lit(1).alias("n"), "count").agg(F.count("*").alias("times")).union(rest).groupBy("by", "n", "count").agg(F.sum("times").alias("times"))
     return every.withColumnRenamed("by", by) if by else every.drop("by")
+
+
+def _foremost(counts: np.ndarray, codes: np.ndarray, top: int, rank: np.ndarray) -> np.ndarray:
+    """Which of the n-grams can be among the first top by falling count and words: those, and ties that rare words leave open. codes is (n, n-grams); rank: a common word's place in order."""
+    if len(counts) <= top:
+        return np.arange(len(counts))
+    last = np.partition(counts, -top)[-top]
+    sure, ties = np.flatnonzero(counts > last), np.flatnonzero(counts == last)
+    short = codes[:, ties] < COMMON
+    place = np.where(short, 2 * rank[np.where(short, codes[:, ties], 0).astype(np.int64)] + 1, 2 * ((codes[:, ties] >> np.uint64(HASHED)).astype(np.int64) - 1))
+    # rare words between the same common ones are not in order, nor is what follows them
+    place[1:][~np.logical_and.accumulate(short, axis=0)[:-1]] = 0
+    order = np.lexsort(place[::-1])
+    cut = place[:, order[top - len(sure) - 1]]
+    below, level = np.zeros(len(ties), bool), np.ones(len(ties), bool)
+    for row, x in zip(place, cut, strict=True):
+        below |= level & (row < x)
+        level &= row == x
+    return np.concatenate([sure, ties[below | level]])
+
+
+def top_ngrams(functions: DataFrame, sizes: tuple[int, ...], top: int, short: int = COMMON) -> list[tuple[int, str]]:
+    """(n, ngram): of each size the top n-grams of the corpus by falling count, then by their words. Counts are exact; each task names its own foremost ones. short: words with a short code."""
+    from .clones import written
+
+    most = max(sizes)
+    words = written(word_counts(functions, F.lit("")), "words")
+    common = common_words(words, short)
+    buckets = max(8, 4 * functions.rdd.getNumPartitions())
+    rank = np.empty(max(1, len(common)), np.int64)
+    rank[np.argsort(np.array(common, object))] = np.arange(len(common))
+    names = ["n", "count", "codes"]
+
+    def rows_of(n, counts, codes):
+        each = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(counts) + 1, n), pa.int32()), pa.array(codes.T.astype(np.int64).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), n, np.int32)), pa.array(counts.astype(np.int64)), each], names)
+
+    def told(_, rows, counts):
+        for n in sizes:
+            starts, c = prefixes(rows, counts, n)
+            few = _foremost(c, rows[1 : n + 1, starts], top, rank)
+            yield rows_of(n, c[few], rows[1 : n + 1, starts[few]])
+
+    def foremost(batches):
+        best = {n: (np.zeros(0, np.int64), np.zeros((n, 0), np.uint64)) for n in sizes}
+        for batch in batches:
+            sizes_of = batch.column(0).to_numpy()
+            for n in np.unique(sizes_of).tolist():
+                part = batch.filter(pa.array(sizes_of == n))
+                c = np.concatenate([best[n][0], part.column(1).to_numpy()])
+                codes = np.concatenate([best[n][1], part.column(2).flatten().to_numpy().reshape(-1, n).T.astype(np.uint64)], axis=1)
+                few = _foremost(c, codes, top, rank)
+                best[n] = c[few], codes[:, few]
+        for n, (c, codes) in best.items():
+            yield rows_of(n, c, codes)
+
+    def spelt(batches):
+        known, order = pa.array(common, pa.string()), sorted(common)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_codes(batch.column(0), known, order).astype(np.int64)), batch.column(0)], ["code", "word"])
+
+    schema = "n int, count long, codes array<long>"
+    found = written(counted(blocks(functions, most, F.lit(""), common, buckets), most, told, schema).mapInArrow(foremost, schema), "foremost")
+    spelling = words.select("word").mapInArrow(spelt, "code long, word string")
+    out = []
+    for n in sizes:
+        own = found.where(F.col("n") == n)
+        least = own.orderBy(F.desc("count")).limit(top).agg(F.min("count")).first()[0]
+        if least is None:
+            continue
+        each = own.where(F.col("count") >= least).select("count", "codes", F.posexplode("codes").alias("i", "code")).join(spelling, "code")
+        named = each.groupBy("count", "codes").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "word"))).getField("word"), " ").alias("ngram"))
+        out += [(n, r.ngram) for r in named.orderBy(F.desc("count"), "ngram").limit(top).collect()]
+    return out
+
+
+def counts_of(functions: DataFrame, wanted: list[tuple[int, str]]) -> DataFrame:
+    """binary, n, ngram, count: as ngram_counts, of the wanted (n, ngram) alone. They are sent to all tasks; counts are added up in each."""
+    spark, most = functions.sparkSession, max((n for n, _ in wanted), default=1)
+    known = sorted({w for _, g in wanted for w in g.split(" ")})
+    code = {w: i + 1 for i, w in enumerate(known)}
+    # a level for each word: (state before, word) by state; a state ends an n-gram or is only on the way to one
+    steps: list[dict[tuple[int, int], int]] = [{} for _ in range(most)]
+    ends: list[dict[int, int]] = [{} for _ in range(most)]
+    for i, (n, g) in enumerate(wanted):
+        state = 0
+        for level, w in enumerate(g.split(" ")):
+            state = steps[level].setdefault((state, code[w]), len(steps[level]) + 1)
+        ends[n - 1][state] = i
+    width, levels = len(known) + 1, []
+    for level, end in zip(steps, ends, strict=True):
+        keys = np.array([s * width + w for s, w in level], np.int64)
+        order = np.argsort(keys)
+        states = np.array(list(level.values()), np.int64)[order]
+        levels.append((keys[order], states, np.array([end.get(s, -1) for s in states.tolist()], np.int64)))
+    sent = spark.sparkContext.broadcast((known, levels))
+
+    def run(batches):
+        known, levels = sent.value
+        known, groups, held, rows = pa.array(known, pa.string()), {}, [], 0
+        many = max(1, len(wanted))
+        added = lambda: (lambda k, c: (np.unique(k, return_inverse=True), c))(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        for batch in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
+            line, each = _each(batch, lambda words: pc.fill_null(pc.index_in(words, known), -1).to_numpy().astype(np.int64) + 1, most, 0)
+            group = np.array([groups.setdefault(b, len(groups)) for b in batch.column(0).to_pylist()], np.int64)[line]
+            state = np.zeros(len(line), np.int64)
+            for level, (keys, states, end) in enumerate(levels):
+                if not len(keys):
+                    break
+                key = state * width + each[level]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                on = keys[at] == key
+                at, group, state, each = at[on], group[on], states[at[on]], each[:, on]
+                whole = end[at] >= 0
+                held.append((group[whole] * many + end[at[whole]], np.ones(int(whole.sum()), np.int64)))
+                rows += len(held[-1][0])
+            if rows >= ROWS:
+                (k, place), c = added()
+                held = [(k, np.bincount(place, weights=c).astype(np.int64))]
+                rows = len(k) // 2
+        if held:
+            (k, place), c = added()
+            names = list(groups)
+            c = np.bincount(place, weights=c, minlength=len(k)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(k // many)), pa.array(k % many), pa.array(c)], ["binary", "wanted", "count"])
+
+    rows = lines(functions, most, F.col("binary")).mapInArrow(run, "binary string, wanted long, count long").groupBy("binary", "wanted").agg(F.sum("count").alias("count"))
+    spelt = spark.createDataFrame([(i, n, g) for i, (n, g) in enumerate(wanted)], "wanted long, n int, ngram string")
+    return rows.join(F.broadcast(spelt), "wanted").select("binary", "n", "ngram", "count")
