@@ -55,6 +55,8 @@ COVERAGE = 0.45
 STOP_SHARE = 0.05
 #: Tasks whose sums are added up at a time, and terms of such a sum that go together.
 FAN_IN, BLOCK = 64, 1024
+#: Vectors that are added up in one go, and such sums that are made side by side.
+RUN, SIDE = 32, 512
 
 #: Taken off both ends of a token.
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’‚…–—¿¡·•"
@@ -145,15 +147,27 @@ def _gathered(blobs, step: int, weight: np.ndarray) -> tuple[list[np.ndarray], n
 def _sums(vectors: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells, ascending, and the sums of their terms' vectors."""
     starts = np.flatnonzero(np.diff(cells, prepend=-1))
-    out = np.empty((len(starts), vectors.shape[1]), np.float32)
-    most = 20_000  # terms at a time: bounded memory
-    at = 0
-    while at < len(starts):
-        end = max(at + 1, int(np.searchsorted(starts, starts[at] + most)))
-        a, b = int(starts[at]), int(starts[end]) if end < len(starts) else len(ids)
-        out[at:end] = np.add.reduceat(vectors[ids[a:b]], starts[at:end] - a, axis=0)
-        at = end
-    return cells[starts], out
+    return cells[starts], _added(vectors, ids, starts)
+
+
+def _added(vectors: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sums of vectors[ids] from each start to the next: runs of like lengths side by side, one place at a time; long runs are cut and their parts added up again."""
+    sizes, out = np.diff(starts, append=len(ids)), np.empty((len(starts), vectors.shape[1]), np.float32)
+    parts = -(-sizes // RUN)
+    if len(parts) and parts.max() > 1:
+        first = np.cumsum(parts) - parts
+        cut = np.repeat(starts, parts) + (np.arange(parts.sum()) - np.repeat(first, parts)) * RUN
+        return _added(_added(vectors, ids, cut), np.arange(len(cut)), first)
+    order, room = np.argsort((RUN - sizes).astype(np.uint8), kind="stable"), np.empty((SIDE, vectors.shape[1]), np.float32)
+    for a in range(0, len(order), SIDE):  # bounded memory
+        some = order[a : a + SIDE]
+        at, n = starts[some], sizes[some]
+        total = vectors[ids[at]]
+        for j in range(1, int(n[0])):
+            longer = int(np.searchsorted(-n, -j))
+            total[:longer] += np.take(vectors, ids[at[:longer] + j], axis=0, out=room[:longer], mode="clip")
+        out[some] = total
+    return out
 
 
 def _some(batch: pa.RecordBatch, column: int, words: int = 400_000) -> Iterator[pa.RecordBatch]:
@@ -179,7 +193,7 @@ def _latent_sum(numbered: DataFrame, weight: np.ndarray, start: np.ndarray) -> n
                 place = np.cumsum(np.diff(cells, prepend=cells[0]) != 0)
                 norms = np.bincount(place, weights=weight[ids].astype(np.float64) ** 2)
                 sums /= norms[:, None].astype(np.float32)
-                order = np.argsort(ids, kind="stable")
+                order = np.argsort(ids.astype(np.uint16), kind="stable")
                 terms, back = _sums(sums, place[order], ids[order])
                 total[terms] += back * weight[terms, None]
         blocks = [total[a : a + BLOCK].tobytes() for a in range(0, TERMS, BLOCK)]
