@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from conftest import ODD, WORDS, prose
 
 from tokenloom.llm import decontaminate, licenses, quality_model
@@ -130,6 +131,60 @@ def test_sums_of_vectors_are_right_and_cheap():
     assert len(empty[0]) == 0 and empty[1].shape == (0, 64)
 
 
+def test_sums_are_as_cheap_for_vectors_that_lie_by_columns():
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((decontaminate.TERMS, 64)).astype(np.float32)
+    columns = rows[:, np.ones(64, bool)]
+    cells, ids = np.repeat(np.arange(20000), 14), rng.integers(0, len(rows), 280000)
+    took = []
+    for vectors in (rows, columns):
+        began = time.process_time()
+        sums = decontaminate._sums(vectors, ids, cells)[1]
+        took.append(time.process_time() - began)
+    assert not columns.flags.c_contiguous and np.array_equal(sums, decontaminate._sums(rows, ids, cells)[1])
+    assert took[1] < 4 * took[0]
+
+
+def test_first_checks_side_by_side_lose_none():
+    rng = random.Random(6)
+    words = [[rng.randrange(1, 40000) for _ in range(rng.randrange(1, 70))] for _ in range(12)]
+    words[3][1:4], words[4] = [words[3][0] + decontaminate.TERMS] * 3, [7] * 9  # two words of one term; a word alone
+    weight = np.linspace(0, 9, decontaminate.TERMS, dtype=np.float32)
+    items = [decontaminate.Item(i, np.array(w, np.uint32), np.zeros(0, np.uint32), weight) for i, w in enumerate(words)]
+    rows = []
+    for w in words * 3:
+        kept = [x for x in w if rng.random() < rng.choice((0.4, 0.6, 1))]
+        rows.append(np.array([rng.randrange(1, 40000) for _ in range(rng.randrange(60))] + kept + [rng.randrange(1, 40000)] * rng.randrange(1, 40), np.uint32))
+    texts, _, cells, firsts = decontaminate._gathered(pa.array([x.tobytes() for x in rows], pa.binary()), decontaminate.STEP, weight)
+    near, owners = (x.ravel() for x in np.meshgrid(np.unique(cells), np.arange(len(items))))
+    begins, terms = np.cumsum([0, *map(len, texts)]), decontaminate.terms_of(np.concatenate(texts))
+    some = decontaminate._promising(terms, begins, firsts, near, owners, items)
+    text = np.searchsorted(firsts, near, side="right") - 1
+    held = np.array([items[i].held(decontaminate.window(texts[t], c - firsts[t], items[i].n)) > 0 for c, t, i in zip(near, text, owners, strict=True)])
+    assert held.sum() > 30 and some[held].all() and some.sum() < 0.3 * len(some)
+
+
+def test_numbers_are_hashes_and_cheap():
+    rng = random.Random(4)
+    words = ["", "a" * 15, "b" * 16, "c" * 40, *("".join(rng.choices("abcdeé日9", k=rng.randrange(20))) for _ in range(50000))]
+    plain = lambda: [xxhash.xxh32_intdigest(w.encode()) % (2**32 - 1) + 1 if w else 0 for w in column.to_pylist()]
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    for column in (pa.array(words[:0], pa.string()), pa.array(words).slice(3, 500), pa.array(words, pa.large_string()), pa.array(words)):
+        assert decontaminate._numbers(column).tolist() == plain()
+    text = pa.array([" ".join(words)])
+    held = decontaminate.numbers_of(text)[0]
+    assert held.tolist() == [n for n in plain() if n]
+    assert least(lambda: decontaminate.numbers_of(text)) < least(plain)
+
+
 def test_subsequence():
     rng = random.Random(2)
     for _ in range(200):

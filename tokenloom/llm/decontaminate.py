@@ -57,6 +57,8 @@ STOP_SHARE = 0.05
 FAN_IN, BLOCK = 64, 1024
 #: Vectors that are added up in one go, and such sums that are made side by side.
 RUN, SIDE = 32, 512
+#: Words of surroundings that are checked side by side.
+GATHERED = 1 << 16
 
 #: Taken off both ends of a token.
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’‚…–—¿¡·•"
@@ -65,13 +67,37 @@ ANSWER = re.compile(r"(?:^|\n|\s)(?:answer|réponse|antwort|respuesta|a)\s*:\s*(
 RESULT = "key long, sum long, item_id long, lcs_words long, item_words long, cosine double"
 
 
+def _numbers(words: pa.Array) -> np.ndarray:
+    """1 and more: XXH32 of each word; 0 for an empty one. Words of like lengths, below XXH32's blocks of 16 bytes, side by side."""
+    words = words.cast(pa.large_binary())
+    off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    raw = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(16, np.uint8)])
+    fours, sizes, out = np.lib.stride_tricks.sliding_window_view(raw, 4), np.diff(off), np.zeros(len(words), np.uint32)
+    turned = lambda h, n: h << np.uint32(n) | h >> np.uint32(32 - n)
+    one, two, three, four, five = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1))
+    for size in range(1, 16):
+        some = np.flatnonzero(sizes == size)
+        at, h = off[some], np.full(len(some), int(five) + size, np.uint32)
+        for i in range(0, size - 3, 4):
+            h = turned(h + fours[at + i].view("<u4").ravel() * three, 17) * four
+        for i in range(size // 4 * 4, size):
+            h = turned(h + raw[at + i].astype(np.uint32) * five, 11) * one
+        h = (h ^ h >> np.uint32(15)) * two
+        h = (h ^ h >> np.uint32(13)) * three
+        out[some] = h ^ h >> np.uint32(16)
+    for i in np.flatnonzero(sizes > 15).tolist():
+        out[i] = xxhash.xxh32_intdigest(raw[off[i] : off[i + 1]].tobytes())
+    out += 1
+    return np.where(sizes > 0, np.maximum(out, 1), 0).astype(np.uint32)
+
+
 def numbers_of(texts: pa.Array) -> list[np.ndarray]:
     """The numbers of each text's words: what white space parts, in lower case, without EDGE; nothing for tokens of EDGE alone."""
     tokens = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
     ends = tokens.offsets.to_numpy().astype(np.int64) - tokens.offsets[0].as_py()
     coded = tokens.flatten().dictionary_encode()
     words = pc.utf8_trim(pc.utf8_lower(coded.dictionary), EDGE).dictionary_encode()
-    known = np.array([xxhash.xxh32_intdigest(w) % (2**32 - 1) + 1 if w else 0 for w in words.dictionary.cast(pa.binary()).to_pylist()], np.uint32)
+    known = _numbers(words.dictionary)
     numbers = known[words.indices.to_numpy()][coded.indices.to_numpy()] if len(known) else np.zeros(0, np.uint32)
     held = numbers > 0
     ends = np.concatenate(([0], np.cumsum(held)))[ends]
@@ -147,7 +173,7 @@ def _gathered(blobs, step: int, weight: np.ndarray) -> tuple[list[np.ndarray], n
 def _sums(vectors: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells, ascending, and the sums of their terms' vectors."""
     starts = np.flatnonzero(np.diff(cells, prepend=-1))
-    return cells[starts], _added(vectors, ids, starts)
+    return cells[starts], _added(np.ascontiguousarray(vectors), ids, starts)  # take() copies an array whose rows are not in one piece, each time
 
 
 def _added(vectors: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -243,6 +269,10 @@ class Item:
             self.masks[w] = self.masks.get(w, 0) | 1 << i
         self.weight = {w: float(weight[w % TERMS]) for w in self.masks}
         self.mass = sum(self.weight.values())
+        # of each term the weight and number of its words, and what held() asks of both, less what sums in another order may differ by
+        self.terms, which = np.unique(terms_of(np.array(list(self.masks), np.uint32)), return_inverse=True)
+        self.shares = np.stack([np.bincount(which, list(self.weight.values())), np.bincount(which)], axis=1).astype(np.float32)
+        self.least = np.array([COVERAGE * self.mass, LCS_SHARE * len(self.words) / 2]) * (1 - 1e-4)
 
     def held(self, near: np.ndarray) -> int:
         """The words of the longest common subsequence, if near holds or paraphrases the item; else 0."""
@@ -263,8 +293,8 @@ def window(numbers: np.ndarray, cell: int, n: int) -> np.ndarray:
     return numbers[max(0, cell * STEP - n) : cell * STEP + PASSAGE + n]
 
 
-def _candidates(ids: np.ndarray, cells: np.ndarray, vectors: np.ndarray, queries: np.ndarray, block: int = 8192) -> Iterator[tuple[int, int, float]]:
-    """(first cell, query, latent cosine) of the passages near a query. A passage is a cell and the one after it."""
+def _candidates(ids: np.ndarray, cells: np.ndarray, vectors: np.ndarray, queries: np.ndarray, block: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First cells, queries and latent cosines of the passages near a query. A passage is a cell and the one after it."""
     found, sums = _sums(vectors, ids, cells)
     joined = np.flatnonzero(np.diff(found) == 1)
     passages = sums.copy()
@@ -272,13 +302,49 @@ def _candidates(ids: np.ndarray, cells: np.ndarray, vectors: np.ndarray, queries
     passages /= np.maximum(np.linalg.norm(passages, axis=1), 1e-9)[:, None]
     for a in range(0, len(found), block):
         for b in range(0, len(queries), 256):
-            cosine = passages[a : a + block] @ queries[b : b + 256].T
-            near, query = np.nonzero(cosine >= COSINE)
-            for p, q, c in zip(near.tolist(), query.tolist(), cosine[near, query].tolist(), strict=True):
-                yield int(found[a + p]), b + q, min(c, 1.0)
+            cosine = (passages[a : a + block] @ queries[b : b + 256].T).ravel()
+            near = np.flatnonzero(cosine >= COSINE)
+            yield found[a + near // len(queries[b : b + 256])], b + near % len(queries[b : b + 256]), np.minimum(cosine[near], 1)
+
+
+def _together(found: Iterator[tuple[np.ndarray, ...]], least: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same rows in the same order, least or more of them at a time."""
+    held, rows = [], 0
+    for x in found:
+        held.append(x)
+        rows += len(x[0])
+        if rows >= least:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, rows = [], 0
+    if rows:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _promising(terms: np.ndarray, begins: np.ndarray, firsts: np.ndarray, cells: np.ndarray, owners: np.ndarray, items: list[Item]) -> np.ndarray:
+    """Whether a cell's surroundings may pass the first checks of its item's held(): the same on terms, for all cells of an item at once. terms: of all texts' words; begins: where each text's begin, and the end."""
+    out = np.zeros(len(cells), bool)
+    text = np.searchsorted(firsts, cells, side="right") - 1
+    begin, end = begins[text], begins[text + 1]
+    at = begin + (cells - firsts[text]) * STEP
+    order = np.argsort(owners, kind="stable")
+    starts = np.flatnonzero(np.diff(owners[order], prepend=-1))
+    for mine in np.split(order, starts[1:]):
+        item = items[owners[mine[0]]]
+        place, steps, wide = np.zeros(TERMS, np.int32), np.arange(PASSAGE + 2 * item.n, dtype=begins.dtype), len(item.terms) + 1
+        place[item.terms] = np.arange(1, len(item.terms) + 1)
+        rows = max(1, GATHERED // len(steps))
+        for some in np.split(mine, range(rows, len(mine), rows)):
+            low, high = np.maximum(at[some] - item.n, begin[some]), np.minimum(at[some] + PASSAGE + item.n, end[some])
+            # beyond its end the last word again: what is there stays the same
+            near = place.take(terms.take(np.minimum(low[:, None] + steps, high[:, None] - 1)))
+            near += np.arange(0, wide * len(some), wide, dtype=np.int32)[:, None]
+            there = np.zeros((len(some), wide), np.float32)
+            there.ravel()[near] = 1
+            out[some] = (there[:, 1:] @ item.shares >= item.least).all(axis=1)
+    return out
 
 
-def _search(numbered: DataFrame, weight: np.ndarray, vectors: np.ndarray, items: list[Item], owner: list[int], queries: np.ndarray) -> DataFrame:
+def _search(numbered: DataFrame, weight: np.ndarray, vectors: np.ndarray, items: list[Item], owner: np.ndarray, queries: np.ndarray) -> DataFrame:
     sent = numbered.sparkSession.sparkContext.broadcast((weight, vectors, items, owner, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,14 +353,17 @@ def _search(numbered: DataFrame, weight: np.ndarray, vectors: np.ndarray, items:
             out = []
             for part in _some(batch, 2):
                 texts, ids, cells, firsts = _gathered(part.column(2), STEP, weight)
+                terms, begins = terms_of(np.concatenate([np.zeros(0, np.uint32), *texts])).astype(np.uint16), np.cumsum([0, *map(len, texts)])
                 best: dict[tuple[int, int], tuple] = {}
-                for cell, q, cosine in _candidates(ids, cells, vectors, queries):
-                    text, i = int(np.searchsorted(firsts, cell, side="right")) - 1, owner[q]
-                    had = best.get((text, i), (0, 0, 0.0))
-                    if had[0] < items[i].n:
-                        length = items[i].held(window(texts[text], cell - int(firsts[text]), items[i].n))
-                        if length:
-                            best[text, i] = max(had, (length, items[i].n, cosine))
+                for near, query, cosines in _together(_candidates(ids, cells, vectors, queries)):
+                    some = _promising(terms, begins, firsts, near, owner[query], items)
+                    near, own = near[some], owner[query[some]]
+                    for cell, text, i, cosine in zip(near.tolist(), (np.searchsorted(firsts, near, side="right") - 1).tolist(), own.tolist(), cosines[some].tolist(), strict=True):
+                        had = best.get((text, i), (0, 0, 0.0))
+                        if had[0] < items[i].n:
+                            length = items[i].held(window(texts[text], cell - int(firsts[text]), items[i].n))
+                            if length:
+                                best[text, i] = max(had, (length, items[i].n, cosine))
                 keys, sums = part.column(0), part.column(1)
                 out += [(keys[t].as_py(), sums[t].as_py(), items[i].id, *x) for (t, i), x in best.items()]
             kinds = [pa.int64()] * 5 + [pa.float64()]
@@ -313,7 +382,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray, np.nda
         yield [(r[0], w, a) for r, w, a in zip(block, words, answers, strict=True) if len(w)]
 
 
-def _parts(items: list[tuple], weight: np.ndarray, vectors: np.ndarray) -> tuple[list[int], np.ndarray]:
+def _parts(items: list[tuple], weight: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The items' parts as queries: the item of each, and the sums of its terms' vectors, of length one. The last part reaches back to be whole."""
     owner, rows = [], []
     for i, (_, words, _) in enumerate(items):
@@ -323,7 +392,7 @@ def _parts(items: list[tuple], weight: np.ndarray, vectors: np.ndarray) -> tuple
             if (norm := float(np.linalg.norm(row))) > 1e-9:
                 owner.append(i)
                 rows.append(row / norm)
-    return owner, np.array(rows, np.float32).reshape(-1, vectors.shape[1])
+    return np.array(owner, np.int64), np.array(rows, np.float32).reshape(-1, vectors.shape[1])
 
 
 def latent_space(numbered: DataFrame, benchmark: DataFrame, weight: np.ndarray) -> np.ndarray | None:
@@ -347,7 +416,7 @@ def latent_space(numbered: DataFrame, benchmark: DataFrame, weight: np.ndarray)
     basis, strength, _ = np.linalg.svd(_latent_sum(numbered, weight, start), full_matrices=False)
     some = strength > 1e-6 * max(1e-30, strength[0])
     vectors = basis[:, some] / np.sqrt(strength[some])  # the strengths of a sum A'A are squares of A's
-    return (vectors * (weight / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12))[:, None]).astype(np.float32)
+    return (vectors * (weight / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12))[:, None]).astype(np.float32, order="C")  # basis[:, some] lies by columns
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
@@ -360,7 +429,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text
         return every
     for items in _blocks(benchmark):
         owner, queries = _parts(items, weight, vectors)
-        if owner:
+        if len(owner):
             every = every.union(_search(numbered, weight, vectors, [Item(*x, weight) for x in items], owner, queries))
     return every
 
