@@ -71,6 +71,30 @@ def test_alignments_move_little_and_are_those_of_pairs(spark, corpus, monkeypatc
             assert r.alignment == min(1.0, clones.align(x, y) / (2 * min(len(x), len(y))))
 
 
+def test_alignments_of_copies_move_no_sequence(spark):
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(20000)}" for _ in range(400)] for _ in range(20)]
+    near = [["x"] * (i % 3) + t[:390] for i, t in enumerate(texts)]
+    rows = [(f"b{i % 3}", None, i, t) for i, t in enumerate(texts * 30 + near)]
+    functions = spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
+    pairs = clones.best_pairs(functions).cache()
+    assert pairs.where("same").count() == 20 * 29 and pairs.where("not same").count() >= 20
+    size, got = moved(spark, lambda: clones.aligned(pairs, functions).collect())
+    assert size < sum(len(w) + 1 for r in rows for w in r[3]) / 5
+    plain = clones.aligned(pairs.drop("same"), functions).collect()
+    assert sorted(got) == sorted(plain) and len(got) == pairs.count()
+
+
+def test_alignments_in_a_band_are_whole(spark):
+    rng, pairs = random.Random(6), []
+    for i in range(300):
+        a = [rng.randrange(4 if i % 2 else 2000) for _ in range(rng.randrange(300))]
+        b = [x for x in a if rng.random() > i % 5 / 10] + [rng.randrange(4) for _ in range(i % 7 * 20)]
+        at = rng.randrange(len(b) + 1) if i % 3 == 0 else 0
+        pairs.append((np.array(a, np.int32), np.array(b[at:] + b[:at], np.int32)))
+    assert clones.align_all(pairs).tolist() == [clones.align(a, b) for a, b in pairs]
+
+
 def test_only_keeps_all_that_is_wanted(spark):
     rows = spark.range(5000).select(F.col("id").alias("func"))
     got = {r.func for r in clones.only(rows, "func", spark.range(0, 5000, 50)).collect()}
