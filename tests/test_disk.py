@@ -85,6 +85,20 @@ def test_alignments_of_copies_move_no_sequence(spark):
     assert sorted(got) == sorted(plain) and len(got) == pairs.count()
 
 
+def test_families_of_copies_move_few_beginnings(spark):
+    rng = random.Random(9)
+    texts = [[f"w{rng.randrange(20000)}" for _ in range(200)] for _ in range(20)]
+    rows = [(f"b{i % 3}", None, i, t) for i, t in enumerate(texts * 30 + [t[5:] for t in texts])]
+    functions = spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
+    pairs = spark.createDataFrame([(i % 20, i, 1) for i in range(20, len(rows))], "id1 long, id2 long, clone_type int").cache()
+    parts = clones.components(pairs).cache()
+    assert functions.count() == 620 and parts.count() == 620
+    size, got = moved(spark, lambda: {r.family: r for r in clones.families(pairs, parts, functions).collect()})
+    assert size < sum(len(w) + 1 for r in rows for w in r[3]) / 3
+    for i, t in enumerate(texts):
+        assert got[i].members == list(range(i, 620, 20)) and got[i].size == 31 and got[i].conserved_core == t[5:]
+
+
 def test_alignments_in_a_band_are_whole(spark):
     rng, pairs = random.Random(6), []
     for i in range(300):
