@@ -197,6 +197,41 @@ def test_families(spark):
     assert f.members == [1, 2, 3] and f.is_cross_binary and f.conserved_core == [x for x in a if x != "g"] and math.isclose(f.divergence_score, 1 / 12)
 
 
+def test_cores_are_of_whole_sequences(spark):
+    """Ties go up, as in the whole table; what follows the first 200 opcodes counts."""
+    rng = random.Random(11)
+
+    def plain(a, b):
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        out, i, j = [], len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                out.append(a[i - 1])
+                i, j = i - 1, j - 1
+            elif table[i - 1, j] >= table[i, j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+
+    for n in range(300):
+        a = [f"w{rng.randrange(1 + n % 7)}" for _ in range(rng.randrange(40))]
+        b = [x for x in a if rng.random() < 0.8] + a[: n % 5] if n % 2 else [f"w{rng.randrange(1 + n % 7)}" for _ in range(rng.randrange(40))]
+        assert clones.common_core(a, b) == plain(a, b)
+    texts = [[f"w{rng.randrange(500)}" for _ in range(450)]]
+    texts += [[x if i < 200 or rng.random() < 0.9 else "x" for i, x in enumerate(texts[0])] for _ in range(3)]
+    functions = spark.createDataFrame([("x", None, i, t) for i, t in enumerate([*texts, texts[1]])], SCHEMA)
+    pairs = spark.createDataFrame([(0, i, 1) for i in range(1, 5)], "id1 long, id2 long, clone_type int")
+    (f,) = clones.families(pairs, clones.components(pairs), functions).collect()
+    core = texts[0]
+    for t in texts[1:]:
+        core = plain(core, t)
+    assert f.size == 5 and f.conserved_core == core and len(core) > 200 and math.isclose(f.divergence_score, 1 - len(core) / 450)
+
+
 def test_mann_whitney(spark):
     rng = random.Random(4)
     rows = [(round(rng.gauss(0 if w else 0.5, 1), 1), w) for w in [True] * 15 + [False] * 40]
